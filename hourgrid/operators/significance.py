@@ -13,6 +13,11 @@ from hourgrid.operators.describe import centred
 from hourgrid.operators.quantile import attach_midranks, ranked_values
 
 
+# Practical thresholds per kind of effect, and evidence labels.
+THRESHOLDS = {"delta": 0.02, "delta_diff": 0.02, "rho": 0.10, "rho_diff": 0.05}
+ROBUST, SMALL, OPEN = "robust (stat + practical)", "detectable but small", "inconclusive"
+
+
 def binary_effect(df: DataFrame, by: Sequence[str], flag: str, value: str, min_n: int = 30) -> DataFrame:
     """Counts and means with and without the flag, and their difference when both arms are large enough."""
     on, off = F.col(flag) == 1, F.col(flag) == 0
@@ -113,18 +118,22 @@ def spearman_centred(df: DataFrame, by: Sequence[str], period: str, x: str, y: s
 
 def fisher_difference(df: DataFrame, r1: str, n1: str, r2: str, n2: str) -> DataFrame:
     """z-test of two independent correlations on result rows."""
-    se = F.sqrt(1 / (F.col(n1) - 3).cast("double") + 1 / (F.col(n2) - 3).cast("double"))
-    enough = (F.col(n1) > 3) & (F.col(n2) > 3) & (F.abs(r1) < 1) & (F.abs(r2) < 1)
-    out = df.withColumn("z", F.when(enough, (F.atanh(r1) - F.atanh(r2)) / se))
+    se = F.sqrt(F.try_divide(F.lit(1.0), (F.col(n1) - 3).cast("double")) + F.try_divide(F.lit(1.0), (F.col(n2) - 3).cast("double")))
+    enough = (F.col(n1) > 3) & (F.col(n2) > 3)
+
+    def bounded(r: str) -> Column:
+        return F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), F.col(r)))
+
+    out = df.withColumn("z", F.when(enough & F.col(r1).isNotNull() & F.col(r2).isNotNull(), (F.atanh(bounded(r1)) - F.atanh(bounded(r2))) / se))
     return out.withColumn("p_value", normal_p("z"))
 
 
 def evidence(df: DataFrame, q: str, effect: str, thresholds: dict[str, float], kind: str) -> DataFrame:
-    """Practical threshold per kind of test and a label: robust, significant_small, or not_significant."""
+    """Practical threshold per kind of test and an evidence label."""
     limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv]), F.col(kind))
     sig = F.coalesce(F.col(q) < 0.05, F.lit(False))
     large = F.coalesce(F.abs(effect) >= limit, F.lit(False))
-    label = F.when(sig & large, "robust").when(sig, "significant_small").otherwise("not_significant")
+    label = F.when(sig & large, ROBUST).when(sig, SMALL).otherwise(OPEN)
     return df.withColumns({"practical_threshold": limit, "evidence": label})
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hourgrid.functions.scalar import haversine_km
-from hourgrid.operators.quantile import quantiles
+from hourgrid.operators.quantile import quantiles, ranked_values
 
 
 def two_group_hours(panel: DataFrame, value: str, group: str, inner: str) -> DataFrame:
@@ -33,9 +33,9 @@ def pair_correlation(cells: DataFrame, entity: str, slot: Sequence[str], value:
 
 
 def z_scored_profile(panel: DataFrame, entity: str, slot: Sequence[str], value: str) -> DataFrame:
-    """Mean per slot, standardised within the entity (population sd)."""
+    """Mean per slot, standardised within the entity."""
     cells = panel.groupBy(entity, *slot).agg(F.avg(value).alias("m"))
-    stats = cells.groupBy(entity).agg(F.avg("m").alias("_mu"), F.stddev_pop("m").alias("_sd"))
+    stats = cells.groupBy(entity).agg(F.avg("m").alias("_mu"), F.stddev_samp("m").alias("_sd"))
     return cells.join(stats, entity).select(entity, *slot, F.try_divide(F.col("m") - F.col("_mu"), F.col("_sd")).alias("z"))
 
 
@@ -83,12 +83,37 @@ def lead_lag(hours: DataFrame, lags: Sequence[int], by_rows: bool = False) -> Da
 
 
 def theil_sen(points: DataFrame, x: str, y: str) -> DataFrame:
-    """Median pair slope over a small entity table (one row per entity), from distinct points with counts."""
-    d = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    """Median pair slope with its 95 % interval by the rank variance; input is an entity table, one row per entity.
+
+    All pairs are what the estimator is defined on; the table has as many rows as there are entities.
+    """
+    d = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     slopes = d.alias("a").join(d.alias("b"), F.col("a.x") < F.col("b.x")).select(
         ((F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))).alias("slope")
     )
-    return quantiles(slopes, [], "slope", {"slope": 0.5})
+
+    def ties(c: str) -> DataFrame:
+        k = F.col("count")
+        return d.groupBy(c).count().agg(F.coalesce(F.sum(k * (k - 1) * (2 * k + 5)), F.lit(0)).alias(f"_t{c}"))
+
+    n = F.col("_n")
+    size = d.agg(F.count("*").alias("_n")).crossJoin(ties("x")).crossJoin(ties("y")).crossJoin(slopes.agg(F.count("*").alias("_m")))
+    sigma = F.sqrt((n * (n - 1) * (2 * n + 5) - F.col("_tx") - F.col("_ty")) / 18.0)
+    # Fixed value: the 97.5 % normal quantile.
+    half = 1.959963984540054 * sigma
+    size = size.withColumns(
+        {
+            "_hi": F.least(F.bround((F.col("_m") + half) / 2).cast("bigint"), F.col("_m") - 1),
+            "_lo": F.greatest(F.bround((F.col("_m") - half) / 2).cast("bigint") - 1, F.lit(0)),
+        }
+    )
+    ranked = ranked_values(slopes, [], "slope").crossJoin(F.broadcast(size))
+
+    def at(index: str) -> Column:
+        return F.max(F.when((F.col("cum") - F.col("n") <= F.col(index)) & (F.col(index) < F.col("cum")), F.col("v")))
+
+    ends = ranked.agg(at("_lo").alias("slope_low"), at("_hi").alias("slope_high"))
+    return quantiles(slopes, [], "slope", {"slope": 0.5}).crossJoin(ends)
 
 
 def group_contrast(pairs: DataFrame, groups: DataFrame, same: str = "same_group") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ["filters", "ordered"]
+SUBJECTS = ["filters", "ordered", "joins"]
 
 
 def load_all() -> dict:

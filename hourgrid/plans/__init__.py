@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ["filters", "ordered", "joins"]
+SUBJECTS = ["filters", "ordered", "joins", "aggregates"]
 
 
 def load_all() -> dict:

@@ -1,8 +1,8 @@
 """Exact quantiles and average ranks of large groups.
 
-``F.percentile`` keeps a whole group's values in one buffer. Here values are first counted (map-side combine), each
-group's range is cut into slices, and slice totals tell which slices hold the wanted order statistics. Only those are
-sorted, each in its own task. ``by`` columns must not be NULL.
+``F.percentile`` keeps a whole group's values in one buffer. Here values are first counted (map-side combine) under a
+slice of the number line, slice totals tell which slices hold the wanted order statistics, and only those are sorted,
+each in its own task. All shuffles are on (group, slice) or finer. ``by`` columns must not be NULL.
 """
 
 from __future__ import annotations
@@ -13,70 +13,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SLICES = 1024
+# Slices per power of two; a value's slice depends on the value alone and never decreases with it.
+SLICES = 64
+_OFFSET = 1200 * SLICES
+_OCTAVE = "floor(log2(abs(v)))"
+_PLACE = f"({_OCTAVE} * {SLICES} + floor((abs(v) / power(2, {_OCTAVE}) - 1) * {SLICES}) + {_OFFSET})"
+_SLICE = f"CASE WHEN v = 0 THEN 0 WHEN v > 0 THEN {_PLACE} ELSE -{_PLACE} END"
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: Column | str) -> DataFrame:
+    """by, slice, v, n."""
     v = F.col(value) if isinstance(value, str) else value
-    return df.select(*by, v.cast("double").alias("v")).where("v IS NOT NULL").groupBy(*by, "v").agg(F.count("*").alias("n"))
+    rows = df.select(*by, v.cast("double").alias("v")).where("v IS NOT NULL")
+    return rows.groupBy(*by, F.expr(_SLICE).alias("slice"), "v").agg(F.count("*").alias("n"))
 
 
 def _sliced(df: DataFrame, by: list[str], value: Column | str) -> tuple[DataFrame, DataFrame]:
     counts = value_counts(df, by, value)
-    span = counts.groupBy(*by).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.sum("n").alias("total"))
-    where = F.least(
-        F.lit(SLICES - 1),
-        F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * SLICES), F.lit(0)),
-    )
-    x = counts.join(span, by).withColumn("slice", where).drop("_lo", "_hi")
-    before = W.partitionBy(*by).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    slices = x.groupBy(*by, "slice", "total").agg(F.sum("n").alias("_m"))
-    slices = slices.withColumn("below", F.coalesce(F.sum("_m").over(before), F.lit(0)))
-    return x, slices
+    group = W.partitionBy(*by)
+    slices = counts.groupBy(*by, "slice").agg(F.sum("n").alias("_m"))
+    before = group.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = slices.withColumns({"below": F.coalesce(F.sum("_m").over(before), F.lit(0)), "total": F.sum("_m").over(group)})
+    return counts, slices
 
 
 def ranked_values(df: DataFrame, by: Sequence[str], value: Column | str) -> DataFrame:
     """by, v, n, total, cum (rows up to and including v), midrank (average rank of the tied rows)."""
     keys = list(by) or ["_all"]
     src = df if by else df.withColumn("_all", F.lit(1))
-    x, slices = _sliced(src, keys, value)
-    y = x.join(slices.select(*keys, "slice", "below"), [*keys, "slice"])
+    counts, slices = _sliced(src, keys, value)
     upto = W.partitionBy(*keys, "slice").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    y = y.withColumn("cum", F.sum("n").over(upto) + F.col("below")).drop("slice", "below")
-    y = y.withColumn("midrank", F.col("cum") - F.col("n") + (F.col("n") + 1) / 2)
-    return y if by else y.drop("_all")
+    y = counts.join(slices.drop("_m"), [*keys, "slice"]).withColumn("cum", F.sum("n").over(upto) + F.col("below"))
+    return y.select(*by, "v", "n", "total", "cum", F.expr("cum - n + (n + 1) / 2 AS midrank"))
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: Column | str, probs: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles per group: by + one column per name."""
     keys = list(by) or ["_all"]
     src = df if by else df.withColumn("_all", F.lit(1))
-    x, slices = _sliced(src, keys, value)
-
-    def rank(p: float) -> Column:
-        return (F.col("total") - 1) * F.lit(float(p))
-
-    hit = F.lit(False)
-    for p in probs.values():
-        for edge in (F.floor(rank(p)), F.ceil(rank(p))):
-            hit = hit | ((F.col("below") <= edge) & (edge < F.col("below") + F.col("_m")))
-    wanted = slices.where(hit).select(*keys, "slice", "below")
-    y = x.join(wanted, [*keys, "slice"])
+    counts, slices = _sliced(src, keys, value)
+    rank = {n: f"((total - 1) * CAST({float(p)!r} AS DOUBLE))" for n, p in probs.items()}
+    hits = [f"(below <= {f}({r}) AND {f}({r}) < below + _m)" for r in rank.values() for f in ("floor", "ceil")]
+    wanted = slices.where(" OR ".join(hits)).drop("_m")
     upto = W.partitionBy(*keys, "slice").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    y = y.withColumn("cum", F.sum("n").over(upto) + F.col("below"))
+    y = counts.join(wanted, [*keys, "slice"]).withColumn("cum", F.sum("n").over(upto) + F.col("below"))
 
-    def at(index: Column) -> Column:
-        return F.max(F.when((F.col("cum") - F.col("n") <= index) & (index < F.col("cum")), F.col("v")))
+    def at(index: str) -> str:
+        return f"max(CASE WHEN cum - n <= {index} AND {index} < cum THEN v END)"
 
-    aggs = []
-    for name, p in probs.items():
-        aggs += [at(F.floor(rank(p))).alias(f"_a_{name}"), at(F.ceil(rank(p))).alias(f"_b_{name}")]
+    aggs = [F.expr(f"{at(f'floor({r})')} AS `_a_{n}`") for n, r in rank.items()]
+    aggs += [F.expr(f"{at(f'ceil({r})')} AS `_b_{n}`") for n, r in rank.items()]
     out = y.groupBy(*keys, "total").agg(*aggs)
-    cols = [
-        (F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * (rank(p) - F.floor(rank(p)))).alias(n)
-        for n, p in probs.items()
-    ]
-    return out.select(*by, *cols)
+    return out.select(*by, *[F.expr(f"`_a_{n}` + (`_b_{n}` - `_a_{n}`) * ({r} - floor({r})) AS `{n}`") for n, r in rank.items()])
 
 
 def column_quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str], probs: dict[str, float]) -> DataFrame:

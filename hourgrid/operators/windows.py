@@ -28,6 +28,12 @@ def _chunk(order: str, width: int) -> Column:
     return F.floor(F.col(order) / width)
 
 
+def _chunked(df: DataFrame, keys: Sequence[str], order: str, width: int) -> DataFrame:
+    """Rows laid out by (keys, chunk) once, so summaries, join and windows share the exchange."""
+    out = df.withColumn("_chunk", _chunk(order, width))
+    return out.repartition(*[F.col(k) for k in keys], F.col("_chunk"))
+
+
 @dataclass(frozen=True)
 class Look:
     """Nearest row before or after the current one that meets ``where``; ``value`` is what to bring back."""
@@ -41,7 +47,7 @@ class Look:
 
 def neighbours(df: DataFrame, keys: Sequence[str], order: str, looks: Sequence[Look], chunk: int = CHUNK) -> DataFrame:
     """Adds per look a struct (at, value) of the nearest qualifying row, NULL if there is none."""
-    base = df.withColumn("_chunk", _chunk(order, chunk))
+    base = _chunked(df, keys, order, chunk)
 
     def entry(look: Look) -> Column:
         pair = F.struct(F.col(order).alias("at"), look.value.alias("value"))
@@ -88,7 +94,7 @@ def running_total(
     df: DataFrame, keys: Sequence[str], order: str, totals: dict[str, Column], chunk: int = CHUNK
 ) -> DataFrame:
     """Inclusive running sums over the whole series of each key."""
-    base = df.withColumns({f"_v_{n}": v for n, v in totals.items()}).withColumn("_chunk", _chunk(order, chunk))
+    base = _chunked(df.withColumns({f"_v_{n}": v for n, v in totals.items()}), keys, order, chunk)
     summary = base.groupBy(*keys, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals])
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     carried = summary.select(
@@ -178,16 +184,32 @@ def flag_runs(df: DataFrame, keys: Sequence[str], order: str, flag: str) -> Data
     return running_total(out, keys, order, {"run": changed}).drop(f"prev_{flag}", f"prev_{order}")
 
 
+def row_lags(df: DataFrame, keys: Sequence[str], order: str, value: str, n: int, chunk: int = CHUNK) -> DataFrame:
+    """lag_1 .. lag_n by row order. Each chunk hands its newest n values on; n chunks back always hold n rows."""
+    base = _chunked(df, keys, order, chunk)
+    newest = F.slice(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).alias("v"))), False), 1, n)
+    summary = base.groupBy(*keys, "_chunk").agg(newest.alias("_new"))
+    across = W.partitionBy(*keys).orderBy("_chunk")
+    blank = F.slice("_new", 1, 0)
+    earlier = F.concat(*[F.coalesce(F.lag("_new", k).over(across), blank) for k in range(1, n + 1)])
+    carried = summary.select(*keys, "_chunk", F.slice(earlier, 1, n).alias("_old"))
+    within = W.partitionBy(*keys, "_chunk").orderBy(order)
+    out = base.join(carried, [*keys, "_chunk"], "left").withColumn("_r", F.row_number().over(within))
+    lags = {
+        f"lag_{k}": F.when(F.col("_r") > k, F.lag(value, k).over(within)).otherwise(F.get("_old", F.lit(k) - F.col("_r"))["v"])
+        for k in range(1, n + 1)
+    }
+    return out.withColumns(lags).drop("_chunk", "_old", "_r")
+
+
 def frozen(df: DataFrame, keys: Sequence[str], order: str, value: str, repeats: int = 4) -> DataFrame:
     """1 from the ``repeats``-th repetition of the previous value on, gaps in time not considered."""
-    out = previous(df, keys, order, [value])
-    moved = F.coalesce(F.col(value) != F.col(f"prev_{value}"), F.lit(True))
-    out = running_total(out.withColumn("_moved", moved), keys, order, {"_row": F.lit(1)})
-    out = neighbours(out, keys, order, [Look("_start", F.col("_row"), where=F.col("_moved"), inclusive=True)])
-    streak = F.col("_row") - F.coalesce(F.col("_start.value"), F.lit(0))
-    return out.withColumn("is_frozen", (streak >= repeats).cast("int")).drop(
-        f"prev_{value}", f"prev_{order}", "_moved", "_row", "_start"
-    )
+    names = [f"lag_{k}" for k in range(1, repeats + 1)]
+    out = row_lags(df, keys, order, value, repeats)
+    same = F.lit(True)
+    for name in names:
+        same = same & F.coalesce(F.col(value) == F.col(name), F.lit(False))
+    return out.withColumn("is_frozen", same.cast("int")).drop(*names)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], by: Sequence[Column], earliest: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ["filters", "ordered", "joins", "aggregates"]
+SUBJECTS = ["filters", "ordered", "joins", "aggregates", "conditioning", "calendar_events"]
 
 
 def load_all() -> dict:

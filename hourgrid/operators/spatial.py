@@ -89,7 +89,7 @@ def theil_sen(points: DataFrame, x: str, y: str) -> DataFrame:
     """
     d = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     slopes = d.alias("a").join(d.alias("b"), F.col("a.x") < F.col("b.x")).select(
-        ((F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))).alias("slope")
+        F.try_divide(F.col("b.y") - F.col("a.y"), F.col("b.x") - F.col("a.x")).alias("slope")
     )
 
     def ties(c: str) -> DataFrame:

@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,32 +52,37 @@ class Fitted:
 
 
 def fit_ridge(train: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0) -> Fitted:
-    """Ridge on standardised features: penalty alpha x sum of squared coefficients beside the residual sum of squares."""
+    """Ridge on standardised features: penalty alpha x sum of squared coefficients beside the residual sum of squares.
+
+    The correlation matrix of features and target is one distributed pass; with it the normal equations are
+    (R + alpha/n I) w = r_y sd(y), a system of the size of the feature list.
+    """
     features = list(features)
     fill = medians(train, features)
-    x = imputed(train.where(F.col(y).isNotNull()), fill)
-    aggs = [F.avg(f).alias(f"m{i}") for i, f in enumerate(features)] + [F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)]
-    stats = x.agg(F.count("*").alias("n"), F.stddev_samp(y).alias("sy"), *aggs).first()
-    mean = [float(stats[f"m{i}"]) for i in range(len(features))]
-    # A constant column keeps scale 1; rounding can leave a tiny spread.
-    sd = [float(stats[f"s{i}"]) if stats[f"s{i}"] and stats[f"s{i}"] > 1e-12 else 1.0 for i in range(len(features))]
-    scaled = x.select(*[((F.col(f) - mean[i]) / sd[i]).alias(f) for i, f in enumerate(features)], F.col(y).alias("label"))
-    vec = VectorAssembler(inputCols=features, outputCol="features").transform(scaled).select("features", "label").persist()
-    reg = LinearRegression(elasticNetParam=0.0, regParam=alpha * float(stats["sy"]) / stats["n"], solver="l-bfgs", standardization=False, maxIter=500, tol=1e-10)
-    model = reg.fit(vec)
-    vec.unpersist()
-    coef = [float(c) for c in model.coefficients]
-    raw = [c / s for c, s in zip(coef, sd)]
-    base = float(model.intercept) - sum(r * m for r, m in zip(raw, mean))
-    linear = {"coefficients": raw, "means": mean, "intercept": [base]}
+    x = imputed(train.where(F.col(y).isNotNull()).select(*features, F.col(y).cast("double").alias("_y")), fill)
+    columns = [*features, "_y"]
+    vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(x).select("v").persist()
+    stats = vectors.agg(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s")).select("s.*").first()
+    n, mean = int(stats["count"]), np.array(stats["mean"])
+    # The summary has the sample variance; scaling uses the population one. A constant column keeps scale 1.
+    sd = np.sqrt(np.maximum(np.array(stats["variance"]), 0.0) * (n - 1) / max(n, 1))
+    flat = sd <= 1e-9 * np.maximum(1.0, np.abs(mean))
+    scale = np.where(flat, 1.0, sd)
+    r = np.array(Correlation.corr(vectors, "v").first()[0].toArray())
+    vectors.unpersist()
+    r[flat, :], r[:, flat] = 0.0, 0.0
+    np.fill_diagonal(r, 1.0)
+    k = len(features)
+    w = np.linalg.solve(r[:k, :k] + alpha / n * np.eye(k), r[:k, k] * scale[k])
+    raw = [float(v) for v in w / scale[:k]]
+    base = float(mean[k] - np.dot(raw, mean[:k]))
+    linear = {"coefficients": raw, "means": [float(m) for m in mean[:k]], "intercept": [base]}
 
     def predict(df: DataFrame) -> DataFrame:
-        total = F.lit(base)
-        for f, r in zip(features, raw):
-            total = total + F.col(f) * F.lit(r)
-        return df.withColumn("yhat", total)
+        terms = " + ".join(f"`{f}` * CAST({c!r} AS DOUBLE)" for f, c in zip(features, raw))
+        return df.withColumn("yhat", F.expr(f"CAST({base!r} AS DOUBLE) + {terms}"))
 
-    return Fitted("ridge", features, fill, predict, model, linear)
+    return Fitted("ridge", features, fill, predict, None, linear)
 
 
 def _fit_trees(estimator, key: str, train: DataFrame, features: Sequence[str], y: str) -> Fitted:

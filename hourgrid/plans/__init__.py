@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ["filters", "ordered", "joins", "aggregates", "conditioning", "calendar_events", "reshaping", "analyses", "effects", "features"]
+SUBJECTS = ["filters", "ordered", "joins", "aggregates", "conditioning", "calendar_events", "reshaping", "analyses", "effects", "features", "modelling", "attribution"]
 
 
 def load_all() -> dict:

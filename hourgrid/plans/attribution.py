@@ -14,6 +14,7 @@ from hourgrid.operators.evaluate import required_present
 from hourgrid.plans.features import built
 from hourgrid.plans.modelling import _baselines, _PROFILE
 from hourgrid.plans.registry import query
+from hourgrid.session import staged
 
 FEATURES = ["f_hour", "f_weekday", "f_temp", "f_event", "f_humidity"]
 COEFS = [0.01, -0.02, 0.003, 0.05, 0.0004]
@@ -72,7 +73,7 @@ def ex2(t):
 
 
 def _sampled(t, n: int = 60):
-    x = built(t, lags=False).select("entity", "hour", "t", "rate", "split", "hod", "s_tier_is_centrum", "e_is_event_day", *TREE_FEATURES).persist()
+    x = staged(built(t, lags=False).select("entity", "hour", "t", "rate", "split", "hod", "s_tier_is_centrum", "e_is_event_day", *TREE_FEATURES), ["split"])
     return x, X.stratified_sample(x.where("split = 'holdout'"), X.strata(F.col("s_tier_is_centrum") == 1, F.col("e_is_event_day") == 1, F.col("hod")), ["entity", "t"], n)
 
 
@@ -125,10 +126,11 @@ def ex7(t):
 
 def _contrast(t):
     """Group contrast of absolute attributions on a stratified sample."""
-    df = _attributed(t).persist()
+    df = staged(_attributed(t))
     sample = X.stratified_sample(df, X.strata(F.col("tier") == "centrum", F.col("ev") == 1, F.col("hod")), ["entity", "t"], 400)
     long = X.long_attributions(sample, ["entity", "t", "tier"], FEATURES)
-    x = long.select("feature", (F.col("tier") == "centrum").cast("int").alias("a"), F.abs("attribution").alias("v"), F.concat_ws("|", "entity", F.col("t").cast("string")).alias("key")).persist()
+    x = long.select("feature", (F.col("tier") == "centrum").cast("int").alias("a"), F.abs("attribution").alias("v"), F.concat_ws("|", "entity", F.col("t").cast("string")).alias("key"))
+    x = staged(x)
     boot = ST.bootstrap_delta(x, ["feature"], "a", "v", "key", reps=200)
     perm = ST.permutation_p(x, ["feature"], "a", "v", "key", reps=200)
     out = boot.join(perm, "feature").withColumn("run_id", F.lit("linear"))

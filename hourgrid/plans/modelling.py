@@ -12,6 +12,7 @@ from hourgrid.operators.panel import fold_rows
 from hourgrid.operators.windows import exact_lags
 from hourgrid.plans.features import FORECAST, LEVELS, POLICY, built, fold_table, rows
 from hourgrid.plans.registry import query
+from hourgrid.session import staged
 from hourgrid.sources.frames import FOLDS, HOLDOUT_FROM
 
 
@@ -94,7 +95,7 @@ def ml3(t):
 
 
 def _scored_holdout(t, key: str, features, **params):
-    x = built(t).persist()
+    x = staged(built(t), ["split"])
     fitted = M.fit_model(key, x.where("split = 'train'"), features, "rate", **params)
     inner, event = _segments()
     scored = fitted.transform(x.where("split = 'holdout'"))
@@ -130,7 +131,7 @@ def ml10(t):
 
 @query("ml11_run_plan", "run_id:s fold_id:s n_valid:i mae:f4 rmse:f4 fit_status:s")
 def ml11(t):
-    table = fold_table(t).persist()
+    table = staged(fold_table(t), ["fold", "role"])
     plan = [r.asDict() for r in EV.ablation_plan(t.spark).where("cv_mode = 'fold_safe' AND run_id IN ('P0_profile_baseline', 'F0_persistence_baseline', 'P1_ridge_a1_0', 'F2_ridge_a1_0')").orderBy("run_id").collect()]
     inner, event = _segments()
     return M.run_plan(plan, [FOLDS[-1][0]], table, POLICY, FORECAST, set(), inner, event)

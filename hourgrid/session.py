@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
+import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -34,16 +36,24 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """Folder for checkpoints and stage tables: the cluster's setting, or None when nothing is configured."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("HOURGRID_SHARED_DIR")
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors reach: the session's spark.checkpoint.dir; a local session without one gets a fresh folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    folder = tempfile.mkdtemp(prefix="spark-hourgrid-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
-def cut_lineage(df, spark: SparkSession):
-    """Reliable checkpoint in the shared folder; without such a folder the plan is left as it is."""
-    folder = shared_folder(spark)
-    if folder is None:
-        return df
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def staged(df: DataFrame, partition: Sequence[str] = ()) -> DataFrame:
+    """Writes the table to the shared folder and reads it back: the stage boundary between features and models.
+
+    Later plans start from files, so they stay small and a lost executor costs a re-read instead of the whole lineage.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition).parquet(path) if partition else df.write.parquet(path)
+    return spark.read.schema(df.select(*[c for c in df.columns if c not in partition], *partition).schema).parquet(path)

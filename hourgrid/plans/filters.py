@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hourgrid.functions import scalar as S
 from hourgrid.operators import quality as Q
 from hourgrid.plans.registry import query
+from hourgrid.session import shared_folder
 from hourgrid.sources import readers as R
 
 
@@ -261,3 +264,57 @@ def pf15(t):
     stored = (F.col("hod") + (F.col("ksum") % 31 == 0).cast("int")) % 24
     label = F.concat_ws("|", "entity", F.coalesce("grp", F.lit("none")))
     return t.panel.groupBy(label.alias("label")).agg(F.count("*").alias("n"), F.count_if(F.hour("hour") != stored).alias("n_mismatch"))
+
+
+def _stage_path(t) -> str:
+    return f"{shared_folder(t.spark).rstrip('/')}/io-{uuid.uuid4().hex}"
+
+
+@query("io1_csv_required", "name:s n:i first:d", """
+  SELECT o_orderstatus AS name, count(*) AS n, min(CAST(o_orderdate AS DATE)) AS first FROM (SELECT DISTINCT o_orderstatus, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders) GROUP BY 1""")
+def io1(t):
+    path = _stage_path(t)
+    days = t.table("orders").select(F.col("o_orderstatus").alias("Feestdag"), F.date_format("o_orderdate", "dd MMM yyyy").alias("Datum")).distinct()
+    days.write.option("header", True).csv(path)
+    back = R.read_csv(t.spark, path, R.HOLIDAY_COLUMNS, R.HOLIDAY_SCHEMA)
+    return back.groupBy(F.col("Feestdag").alias("name")).agg(F.count("*").alias("n"), F.min(F.to_date("Datum", "dd MMM yyyy")).alias("first"))
+
+
+@query("io3_tagged_files", "kind:s has_file:b n:i", """
+  SELECT 'national' AS kind, true AS has_file, count(*) AS n FROM (SELECT DISTINCT o_orderdate FROM orders WHERE o_orderstatus = 'F') UNION ALL
+  SELECT 'other', true, count(*) FROM (SELECT DISTINCT o_orderdate FROM orders WHERE o_orderstatus = 'O')""")
+def io3(t):
+    path = _stage_path(t)
+    parts = []
+    for kind, status in (("national", "F"), ("other", "O")):
+        days = t.table("orders").where(F.col("o_orderstatus") == status).select(F.lit(status).alias("Feestdag"), F.date_format("o_orderdate", "dd MMM yyyy").alias("Datum"))
+        days.distinct().write.option("header", True).csv(f"{path}/{kind}_files")
+        parts.append(R.read_tagged_csv(t.spark, f"{path}/{kind}_*", R.HOLIDAY_COLUMNS, "kind", kind))
+    both = parts[0].unionByName(parts[1])
+    return both.groupBy("kind").agg(F.bool_and(F.col("source_file").endswith(".csv")).alias("has_file"), F.count("*").alias("n"))
+
+
+@query("io4_plans_and_optional", "source:s n:i", """
+  SELECT 'json' AS source, count(*) AS n FROM nation UNION ALL SELECT 'csv', count(*) FROM nation UNION ALL SELECT 'missing', 0 FROM (SELECT count(*) FROM nation)""")
+def io4(t):
+    path = _stage_path(t)
+    nation = t.table("nation").select("n_nationkey", "n_name")
+    nation.write.json(f"{path}/manifest")
+    nation.write.option("header", True).csv(f"{path}/plan")
+    schema = nation.schema
+    frames = {"json": R.read_json(t.spark, f"{path}/manifest", schema, multiline=False), "csv": R.read_or_empty(t.spark, f"{path}/plan", schema),
+              "missing": R.read_or_empty(t.spark, f"{path}/absent", schema)}
+    out = [df.agg(F.count("n_name").alias("n")).select(F.lit(k).alias("source"), "n") for k, df in frames.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("io6_partitioned_write", "split:s n:i n_entities:i", """
+  SELECT CASE WHEN hour >= TIMESTAMP '2024-01-23' THEN 'holdout' ELSE 'train' END AS split, count(*) AS n, count(DISTINCT entity) AS n_entities FROM hg_panel GROUP BY 1""")
+def io6(t):
+    from hourgrid.operators.evaluate import split_label
+
+    path = _stage_path(t)
+    R.write_panel(split_label(t.panel, "hour", "2024-01-23"), path, ["split"])
+    back = R.read_parquet(t.spark, path, ["entity", "hour", "rate", "split"])
+    per = back.groupBy("split", "entity").agg(F.count("*").alias("n"))
+    return per.groupBy("split").agg(F.sum("n").alias("n"), F.count("*").alias("n_entities"))

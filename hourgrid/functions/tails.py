@@ -10,9 +10,10 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """P(|Z| >= |z|)."""
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2.0))).astype("float64")
@@ -30,7 +31,7 @@ def _t_tail(t: float, dof: float) -> float:
     return float(min(1.0, 2 * norm * half * np.sum(weights * np.cos(x) ** (dof - 1))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(a) or pd.isna(b) else _t_tail(float(a), float(b)) for a, b in zip(t, dof)], dtype="float64"

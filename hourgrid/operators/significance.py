@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions.tails import normal_p, student_p
 from hourgrid.operators.describe import centred
 from hourgrid.operators.quantile import attach_midranks, ranked_values
+from hourgrid.session import staged
 
 
 # Practical thresholds per kind of effect, and evidence labels.
@@ -43,9 +44,7 @@ def mann_whitney(df: DataFrame, by: Sequence[str], flag: str, value: str, min_n:
     """
     keys = list(by) or ["_all"]
     src = (df if by else df.withColumn("_all", F.lit(1))).where(F.col(value).isNotNull() & F.col(flag).isNotNull())
-    ranks = ranked_values(src, keys, value).select(*keys, "v", "n", "midrank")
-    ones = src.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count_if(F.col(flag) == 1).alias("n1v"))
-    s = ranks.join(ones, [*keys, "v"]).groupBy(*keys).agg(
+    s = ranked_values(src, keys, value, {"n1v": F.col(flag) == 1}).groupBy(*keys).agg(
         F.sum("n1v").alias("n1"), F.sum(F.col("n") - F.col("n1v")).alias("n0"), F.sum(F.col("n1v") * F.col("midrank")).alias("_r1"),
         F.sum(F.pow(F.col("n"), 3) - F.col("n")).alias("_tie"),
     )
@@ -145,7 +144,8 @@ def diebold_mariano(df: DataFrame, keys: Sequence[str], order: str, e1: str, e2:
     """
     from hourgrid.operators.windows import running_total
 
-    loss = df.select(*keys, order, (F.abs(e1) - F.abs(e2)).alias("d")).where("d IS NOT NULL")
+    # The losses are read several times below: a stage table keeps their lineage out of every branch.
+    loss = staged(df.select(*keys, order, (F.abs(e1) - F.abs(e2)).alias("d")).where("d IS NOT NULL"))
     per_key = loss.groupBy(*keys).agg(F.count("*").alias("_n"))
     # One row per entity: the offsets of entities in key order.
     before = W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)

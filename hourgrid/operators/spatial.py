@@ -12,6 +12,9 @@ from hourgrid.functions.scalar import haversine_km
 from hourgrid.operators.quantile import quantiles, ranked_values
 
 
+PAIR_BLOCKS = 8
+
+
 def two_group_hours(panel: DataFrame, value: str, group: str, inner: str) -> DataFrame:
     """Mean of the inner group and of everything else per hour; a missing group counts as outside."""
     inside = F.coalesce(F.col(group) == inner, F.lit(False))
@@ -85,12 +88,15 @@ def lead_lag(hours: DataFrame, lags: Sequence[int], by_rows: bool = False) -> Da
 def theil_sen(points: DataFrame, x: str, y: str) -> DataFrame:
     """Median pair slope with its 95 % interval by the rank variance; input is an entity table, one row per entity.
 
-    All pairs are what the estimator is defined on; the table has as many rows as there are entities.
+    All pairs of entities are what the estimator is defined on. They are spread over block pairs (an equality join on
+    hashed blocks), and slopes are counted per value at once.
     """
     d = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    slopes = d.alias("a").join(d.alias("b"), F.col("a.x") < F.col("b.x")).select(
-        F.try_divide(F.col("b.y") - F.col("a.y"), F.col("b.x") - F.col("a.x")).alias("slope")
-    )
+    every = F.explode(F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1)))
+    own = F.pmod(F.xxhash64("x", "y"), F.lit(PAIR_BLOCKS)).cast("int")
+    left = d.select(F.col("x").alias("xa"), F.col("y").alias("ya"), own.alias("i"), every.alias("j"))
+    right = d.select(F.col("x").alias("xb"), F.col("y").alias("yb"), every.alias("i"), own.alias("j"))
+    slopes = left.join(right, ["i", "j"]).where("xa < xb").select(F.try_divide(F.col("yb") - F.col("ya"), F.col("xb") - F.col("xa")).alias("slope"))
 
     def ties(c: str) -> DataFrame:
         k = F.col("count")

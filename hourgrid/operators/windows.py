@@ -187,8 +187,9 @@ def flag_runs(df: DataFrame, keys: Sequence[str], order: str, flag: str) -> Data
 def row_lags(df: DataFrame, keys: Sequence[str], order: str, value: str, n: int, chunk: int = CHUNK) -> DataFrame:
     """lag_1 .. lag_n by row order. Each chunk hands its newest n values on; n chunks back always hold n rows."""
     base = _chunked(df, keys, order, chunk)
-    newest = F.slice(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).alias("v"))), False), 1, n)
-    summary = base.groupBy(*keys, "_chunk").agg(newest.alias("_new"))
+    newest = top_per_group(base.select(*keys, "_chunk", order, value), [*keys, "_chunk"], [F.desc(order)], n, "_d")
+    entry = F.struct(F.col(order).alias("at"), F.col(value).alias("v"))
+    summary = newest.groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list(entry), False).alias("_new"))
     across = W.partitionBy(*keys).orderBy("_chunk")
     blank = F.slice("_new", 1, 0)
     earlier = F.concat(*[F.coalesce(F.lag("_new", k).over(across), blank) for k in range(1, n + 1)])
@@ -202,10 +203,10 @@ def row_lags(df: DataFrame, keys: Sequence[str], order: str, value: str, n: int,
     return out.withColumns(lags).drop("_chunk", "_old", "_r")
 
 
-def frozen(df: DataFrame, keys: Sequence[str], order: str, value: str, repeats: int = 4) -> DataFrame:
+def frozen(df: DataFrame, keys: Sequence[str], order: str, value: str, repeats: int = 4, chunk: int = CHUNK) -> DataFrame:
     """1 from the ``repeats``-th repetition of the previous value on, gaps in time not considered."""
     names = [f"lag_{k}" for k in range(1, repeats + 1)]
-    out = row_lags(df, keys, order, value, repeats)
+    out = row_lags(df, keys, order, value, repeats, chunk)
     same = F.lit(True)
     for name in names:
         same = same & F.coalesce(F.col(value) == F.col(name), F.lit(False))

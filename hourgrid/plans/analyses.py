@@ -113,14 +113,18 @@ def an8(t):
     return per.groupBy("grp").agg(F.count("*").alias("n_entities"), F.sum("n").alias("n_rows"), F.sum("capacity").alias("capacity"), (F.sum("s") / F.sum("n")).alias("mean_rate"))
 
 
-def _suppliers(t):
-    """Entity table with as many rows as suppliers: capacity is the number of lines, rate the mean discount."""
-    li = t.table("lineitem").groupBy("l_suppkey").agg(F.count("*").alias("capacity"), (F.sum(F.round(F.col("l_discount") * 100)) / F.count("*")).alias("mean_rate"))
-    return li.withColumn("mean_rate", F.round("mean_rate", 6))
+def _nations(t):
+    """Entity table by nation: capacity is the number of lines, rate the mean discount.
+
+    Lines are summed per supplier first; only those sums meet the supplier table.
+    """
+    li = t.table("lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("l_discount") * 100)).alias("d"))
+    x = li.join(t.table("supplier").select("s_suppkey", "s_nationkey"), "s_suppkey").groupBy("s_nationkey")
+    return x.agg(F.sum("n").alias("capacity"), F.round(F.sum("d") / F.sum("n"), 6).alias("mean_rate"))
 
 
 @query("an9_capacity_relation", "slope:f slope_low:f slope_high:f rho:f n:i", """
-  WITH p AS (SELECT count(*) AS x, round(sum(round(l_discount * 100)) / count(*), 6) AS y FROM lineitem GROUP BY l_suppkey),
+  WITH p AS (SELECT count(*) AS x, round(sum(round(l_discount * 100)) / count(*), 6) AS y FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY s_nationkey),
   s AS (SELECT (b.y - a.y) / (b.x - a.x) AS slope FROM p a JOIN p b ON a.x < b.x), o AS (SELECT slope, row_number() OVER (ORDER BY slope) - 1 AS i FROM s),
   z AS (SELECT (SELECT count(*) FROM p)::DOUBLE AS n, (SELECT count(*) FROM s) AS m, (SELECT sum(c * (c - 1) * (2 * c + 5)) FROM (SELECT count(*) AS c FROM p GROUP BY x)) AS tx, (SELECT sum(c * (c - 1) * (2 * c + 5)) FROM (SELECT count(*) AS c FROM p GROUP BY y)) AS ty),
   h AS (SELECT m, 1.959963984540054 * sqrt((n * (n - 1) * (2 * n + 5) - tx - ty) / 18.0) AS half FROM z),
@@ -129,7 +133,7 @@ def _suppliers(t):
   SELECT (SELECT quantile_cont(slope, 0.5) FROM s) AS slope, (SELECT slope FROM o, e WHERE i = lo) AS slope_low, (SELECT slope FROM o, e WHERE i = hi) AS slope_high,
   (SELECT corr(rx, ry) FROM r) AS rho, (SELECT count(*) FROM p) AS n""")
 def an9(t):
-    e = _suppliers(t)
+    e = _nations(t)
     return SP.theil_sen(e, "capacity", "mean_rate").crossJoin(F.broadcast(ST.spearman(e, [], "capacity", "mean_rate")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hourgrid.operators import quality as Q
 from hourgrid.operators import series as TS
 from hourgrid.operators import weather as WX
-from hourgrid.operators.windows import frozen, latest_per_key
+from hourgrid.operators.windows import DAY, frozen, latest_per_key
 from hourgrid.plans.registry import query
 
 # SQL for limited interpolation over hg rows: positions count rows.
@@ -161,7 +161,8 @@ def ts12(t):
 def ts12_frozen(t):
     x = t.readings.select("event_id", "user_id", "hour", "ts", F.floor(F.col("cents") / 2000).alias("v"),
                           F.unix_micros("ts").alias("o"))
-    flagged = frozen(x, ["user_id"], "o", "v", 4)
+    # The order column counts microseconds, so chunks of a day are given in microseconds too.
+    flagged = frozen(x, ["user_id"], "o", "v", 4, chunk=DAY * 1_000_000)
     return latest_per_key(flagged.select("user_id", "hour", "event_id", "ts", "is_frozen"), ["user_id", "hour"], [F.col("ts"), F.col("event_id")])
 
 

@@ -46,9 +46,8 @@ def test_limited_interpolation(spark, monkeypatch, chunk, both, edges, limit, ex
 
 
 @pytest.mark.parametrize("chunk", [HOUR, 2 * HOUR, 28 * 24 * HOUR])
-def test_frozen_flag_starts_at_fourth_repeat(spark, monkeypatch, chunk):
-    monkeypatch.setattr(O.row_lags, "__defaults__", (chunk,))
-    out = O.frozen(hours(spark, [7.0, 7.0, 7.0, 7.0, 7.0, 8.0]), ["entity"], "t", "v")
+def test_frozen_flag_starts_at_fourth_repeat(spark, chunk):
+    out = O.frozen(hours(spark, [7.0, 7.0, 7.0, 7.0, 7.0, 8.0]), ["entity"], "t", "v", chunk=chunk)
     assert column(out, name="is_frozen") == [0, 0, 0, 0, 1, 0]
 
 

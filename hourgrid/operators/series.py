@@ -38,13 +38,13 @@ def interpolate(
     Forward fills the first rows of a gap and holds the last value at the end; ``both`` also fills the last rows of a
     gap and the start. ``edges`` afterwards carries known or filled values into what is left, forward then back.
     """
-    df = running_total(df, keys, order, {"_pos": F.lit(1)})
+    df = running_total(df, keys, order, {"_pos": F.lit(1)}, keep=True)
     looks = []
     for c in columns:
         known = F.col(c).isNotNull()
         pack = F.struct(F.col(c).cast("double").alias("v"), F.col("_pos").alias("p"))
         looks += [Look(f"_p_{c}", pack, where=known, inclusive=True), Look(f"_n_{c}", pack, forward=True, where=known, inclusive=True)]
-    df = neighbours(df, keys, order, looks)
+    df = neighbours(df, keys, order, looks, keep=edges)
     t, pos = F.col(order), F.col("_pos")
     out: dict[str, Column] = {}
     for c, limit in columns.items():

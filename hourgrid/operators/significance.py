@@ -68,7 +68,7 @@ def adjust_bh(df: DataFrame, p: str, q: str, family: Sequence[str] = (), tie: Se
     known = F.col(p).isNotNull()
     by_p = W.partitionBy(*fam, known).orderBy(F.col(p), *[F.col(x) for x in tie])
     ranked = df.withColumns({"_r": F.row_number().over(by_p), "_n": F.count(p).over(W.partitionBy(*fam, known))})
-    tail = W.partitionBy(*fam, known).orderBy("_r").rowsBetween(0, W.unboundedFollowing)
+    tail = W.partitionBy(*fam, known).orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, 0)
     value = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(tail))
     return ranked.withColumn(q, F.when(known, value)).drop("_r", "_n")
 

@@ -29,7 +29,12 @@ def _chunk(order: str, width: int) -> Column:
 
 
 def _chunked(df: DataFrame, keys: Sequence[str], order: str, width: int) -> DataFrame:
-    """Rows laid out by (keys, chunk) once, so summaries, join and windows share the exchange."""
+    """Rows laid out by (keys, chunk) once, so summaries, join and windows share the exchange.
+
+    A table that still carries its chunk column from the step before is laid out already.
+    """
+    if "_chunk" in df.columns:
+        return df
     out = df.withColumn("_chunk", _chunk(order, width))
     return out.repartition(*[F.col(k) for k in keys], F.col("_chunk"))
 
@@ -45,8 +50,17 @@ class Look:
     inclusive: bool = False
 
 
-def neighbours(df: DataFrame, keys: Sequence[str], order: str, looks: Sequence[Look], chunk: int = CHUNK) -> DataFrame:
-    """Adds per look a struct (at, value) of the nearest qualifying row, NULL if there is none."""
+def _done(df: DataFrame, keep: bool, *columns: str) -> DataFrame:
+    return df.drop(*columns) if keep else df.drop("_chunk", *columns)
+
+
+def neighbours(
+    df: DataFrame, keys: Sequence[str], order: str, looks: Sequence[Look], chunk: int = CHUNK, keep: bool = False
+) -> DataFrame:
+    """Adds per look a struct (at, value) of the nearest qualifying row, NULL if there is none.
+
+    ``keep`` leaves the chunk column on for a following step with the same keys and order.
+    """
     base = _chunked(df, keys, order, chunk)
 
     def entry(look: Look) -> Column:
@@ -61,37 +75,32 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: str, looks: Sequence[L
             for k in looks
         ]
     )
-    across = W.partitionBy(*keys).orderBy("_chunk")
-    before = across.rowsBetween(W.unboundedPreceding, -1)
-    after = across.rowsBetween(1, W.unboundedFollowing)
+    # Looking ahead runs over descending order: a frame that shrinks row by row would be evaluated anew for each row.
+    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(W.unboundedPreceding, -1)
     carried = summary.select(
         *keys,
         "_chunk",
         *[
-            (F.first(f"_c_{k.name}", True).over(after) if k.forward else F.last(f"_c_{k.name}", True).over(before)).alias(
-                f"_c_{k.name}"
-            )
+            F.last(f"_c_{k.name}", True).over(after if k.forward else before).alias(f"_c_{k.name}")
             for k in looks
         ],
     )
-    within = W.partitionBy(*keys, "_chunk").orderBy(order)
+    within = W.partitionBy(*keys, "_chunk")
 
     def local(look: Look) -> Column:
-        if look.forward:
-            frame = within.rowsBetween(0 if look.inclusive else 1, W.unboundedFollowing)
-            return F.first(entry(look), True).over(frame)
-        frame = within.rowsBetween(W.unboundedPreceding, 0 if look.inclusive else -1)
-        return F.last(entry(look), True).over(frame)
+        ordered = within.orderBy(F.desc(order) if look.forward else F.col(order))
+        return F.last(entry(look), True).over(ordered.rowsBetween(W.unboundedPreceding, 0 if look.inclusive else -1))
 
     out = base.join(carried, [*keys, "_chunk"], "left")
     found = {f"_l_{k.name}": local(k) for k in looks}
     out = out.withColumns(found)
     done = {k.name: F.coalesce(F.col(f"_l_{k.name}"), F.col(f"_c_{k.name}")) for k in looks}
-    return out.withColumns(done).drop("_chunk", *[f"_l_{k.name}" for k in looks], *[f"_c_{k.name}" for k in looks])
+    return _done(out.withColumns(done), keep, *[f"_l_{k.name}" for k in looks], *[f"_c_{k.name}" for k in looks])
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: str, totals: dict[str, Column], chunk: int = CHUNK
+    df: DataFrame, keys: Sequence[str], order: str, totals: dict[str, Column], chunk: int = CHUNK, keep: bool = False
 ) -> DataFrame:
     """Inclusive running sums over the whole series of each key."""
     base = _chunked(df.withColumns({f"_v_{n}": v for n, v in totals.items()}), keys, order, chunk)
@@ -103,13 +112,15 @@ def running_total(
     within = W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     out = base.join(carried, [*keys, "_chunk"], "left")
     out = out.withColumns({n: F.sum(f"_v_{n}").over(within) + F.col(f"_p_{n}") for n in totals})
-    return out.drop("_chunk", *[f"_v_{n}" for n in totals], *[f"_p_{n}" for n in totals])
+    return _done(out, keep, *[f"_v_{n}" for n in totals], *[f"_p_{n}" for n in totals])
 
 
-def previous(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], chunk: int = CHUNK) -> DataFrame:
+def previous(
+    df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], chunk: int = CHUNK, keep: bool = False
+) -> DataFrame:
     """Row lag by one: adds prev_<column> and prev_<order>."""
     pack = F.struct(*[F.col(c) for c in columns])
-    out = neighbours(df, keys, order, [Look("_prev", pack)], chunk)
+    out = neighbours(df, keys, order, [Look("_prev", pack)], chunk, keep)
     cols = {f"prev_{c}": F.col(f"_prev.value.{c}") for c in columns}
     cols[f"prev_{order}"] = F.col("_prev.at")
     return out.withColumns(cols).drop("_prev")
@@ -168,7 +179,7 @@ def rolling_strict(df: DataFrame, keys: Sequence[str], order: str, value: str, h
 def islands(df: DataFrame, keys: Sequence[str], order: str, step: int = HOUR, same: str | None = None) -> DataFrame:
     """Island number per key: a new one starts where the step differs, or, with ``same``, where that value changes."""
     cols = [same] if same else [order]
-    out = previous(df, keys, order, cols)
+    out = previous(df, keys, order, cols, keep=True)
     joined = F.col(order) - F.col(f"prev_{order}") == step
     if same:
         joined = joined & F.col(same).eqNullSafe(F.col(f"prev_{same}")) & F.col(same).isNotNull()
@@ -179,7 +190,7 @@ def islands(df: DataFrame, keys: Sequence[str], order: str, step: int = HOUR, sa
 
 def flag_runs(df: DataFrame, keys: Sequence[str], order: str, flag: str) -> DataFrame:
     """Runs of equal flag values by row order, whatever the time between rows."""
-    out = previous(df, keys, order, [flag])
+    out = previous(df, keys, order, [flag], keep=True)
     changed = F.when(F.col(flag).eqNullSafe(F.col(f"prev_{flag}")), 0).otherwise(1)
     return running_total(out, keys, order, {"run": changed}).drop(f"prev_{flag}", f"prev_{order}")
 

@@ -40,7 +40,7 @@ GAPS = [None, 1.0, None, None, None, 5.0, None, None, None]
 ])
 def test_limited_interpolation(spark, monkeypatch, chunk, both, edges, limit, expected):
     for f in (O.neighbours, O.running_total):
-        monkeypatch.setattr(f, "__defaults__", (chunk,))
+        monkeypatch.setattr(f, "__defaults__", (chunk, False))
     out = TS.interpolate(hours(spark, GAPS), ["entity"], "t", {"v": limit}, both=both, edges=edges)
     assert column(out) == expected
 

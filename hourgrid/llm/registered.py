@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm import packing, records
+from hourgrid.llm import exact_dedup, licenses, lines, mixing, packing, records, sharding, simhash, topk
 from hourgrid.llm.common import table
 from hourgrid.session import stage_path
 
@@ -32,3 +32,70 @@ def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 1)
     return found.select("doc_id", "start", "length", packing.checksums().alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op1_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query
+def op8_simhash_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
+@query
+def op9_term_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+ORACLE["op1_stream_dedup"] = r"""
+  WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+  SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+  FROM n WINDOW w AS (PARTITION BY norm)"""
+
+ORACLE["op9_term_at_a_time"] = """
+  WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  w AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM v),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM w q, w c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS "rank", vec_id, score FROM s
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
+
+
+@query
+def op10_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"), 8)
+    return found.select("doc_id", F.col("bytes").alias("size"), F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    exact = F.filter("matches", lambda m: m["exact_phrase"])
+    joined = lambda m: F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(m, lambda x: x["label"]))))
+    first = F.array_min(F.transform(exact, lambda m: m["word"]))
+    last = F.array_max(F.transform(exact, lambda m: m["word"]))
+    score = F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0))
+    return found.select("doc_id", "n_words", F.size(exact).cast("long").alias("n_base"), first.alias("first_word"), last.alias("last_word"), joined(exact).alias("base_labels"), joined(F.col("matches")).alias("labels"), score.alias("score"), "matches")
+
+
+@query
+def op3_rake_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "lang", "topic", "tokens", F.round("rate", 6).alias("rate"), "chosen")
+
+
+ORACLE["op3_rake_mix"] = f"""
+  WITH mix_docs AS (SELECT * FROM documents), {mixing.oracle_ctes()}
+  SELECT doc_id, source, lang, topic, tokens, round(rate, 6) AS rate, {mixing.oracle_draw()} < rate AS chosen FROM mix_rows JOIN mix_rates USING (source, lang, topic)"""
+
+
+@query
+def op5_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_boilerplate(table(spark, sf_dir, "pages"), "page_id", lines.host(), lines.lines_of_html())
+    return found.select("page_id", "host", F.array_join("lines", "\n").alias("text"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"))
+
+
+ORACLE["op5_site_lines"] = lines.ORACLE

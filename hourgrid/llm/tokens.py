@@ -20,12 +20,12 @@ from hourgrid.llm.common import kept
 #: Texts with a run of white space, or any besides blank and line feed, are encoded as one string.
 UNSAFE = "[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]"
 #: Words remembered by one worker: about 250 bytes each.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 300_000
 #: Words encoded in one string, apart by the end mark.
 JOINED = 400
 MARK = "<|endoftext|>"
 #: Bytes of text split at once.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 
 
 class WordEncoder:
@@ -35,21 +35,24 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        self.marked = Tokenizer.from_file(path)
-        self.mark = self.marked.token_to_id(MARK)
-        self.dtype = np.dtype("<u2" if self.plain.get_vocab_size() <= 1 << 16 else "<u4")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self.tokenizer.token_to_id(MARK)
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         # The byte-level kind keeps white space as part of ids, so its words carry the blank before them.
-        self.keeps_space = self.plain.normalizer is None
+        self.keeps_space = self.tokenizer.normalizer is None
         self.known: dict[str, bytes] = {}
         self.words_kept = words_kept
 
     def packed(self, ids: Sequence[int]) -> bytes:
         return np.array(array("I", ids), self.dtype).tobytes()
 
+    def encodings(self, texts: list[str], marks: bool) -> list:
+        """``marks``: whether the end mark in a text is its id, or ordinary text."""
+        self.tokenizer.encode_special_tokens = not marks
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+
     def encode_whole(self, texts: list[str]) -> list[bytes]:
-        return [self.packed(e.ids) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        return [self.packed(e.ids) for e in self.encodings(texts, False)]
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Many words to a string, told apart by the end mark; words that could run into the mark go alone."""
@@ -58,7 +61,7 @@ class WordEncoder:
         rest = [w for w in words if w not in found] if odd else words
         lines = [rest[i : i + JOINED] for i in range(0, len(rest), JOINED)]
         width = self.dtype.itemsize
-        for line, e in zip(lines, self.marked.encode_batch_fast([MARK.join(x) for x in lines], add_special_tokens=False), strict=True):
+        for line, e in zip(lines, self.encodings([MARK.join(x) for x in lines], True), strict=True):
             ids, at = e.ids, 0
             data = self.packed(ids)
             for w in line[:-1]:
@@ -108,6 +111,8 @@ class WordEncoder:
             data, starts = self.ids_by_word(pc.if_else(pa.array(unsafe), "", part) if unsafe.any() else part)
             for i, alone in enumerate(unsafe):
                 yield np.frombuffer(next(whole), self.dtype) if alone else data[starts[i] : starts[i + 1]]
+            del data, part
+            pa.default_memory_pool().release_unused()
 
 
 def encoder(path: str) -> WordEncoder:

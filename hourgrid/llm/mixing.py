@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import text_or_empty
+from hourgrid.llm.common import text_or_empty, unique_name
 from hourgrid.session import staged
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -95,17 +95,30 @@ def draw(key: str = "doc_id", seed: int = 11) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def calibrated(rows: DataFrame, fraction: float, rounds: int, power: float) -> DataFrame:
+    """(source, lang, topic, rate) of all cells, written: below the session's bound it is broadcast, else joined by key."""
+    cells = staged(cells_of(rows))
+    fitted = rates(rake(cells, {d: flattened(cells, d, power) for d in DIMENSIONS}, rounds), fraction)
+    return staged(fitted.select(*DIMENSIONS, "rate"))
+
+
 def mix(docs: DataFrame, fraction: float = FRACTION, rounds: int = ROUNDS, power: float = FLATTEN) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, rate, chosen) of every row.
 
     Rows with one id, repeated or null, are drawn alike. An empty table gives no rows.
     """
     rows = described(docs)
-    cells = staged(cells_of(rows))
-    fitted = rates(rake(cells, {d: flattened(cells, d, power) for d in DIMENSIONS}, rounds), fraction)
-    table = staged(fitted.select(*DIMENSIONS, "rate"))
-    # The written cells have a known size: below the session's bound they are broadcast, else the join is by key.
-    return rows.join(table, list(DIMENSIONS)).withColumn("chosen", draw() < F.col("rate"))
+    return rows.join(calibrated(rows, fraction, rounds, power), list(DIMENSIONS)).withColumn("chosen", draw() < F.col("rate"))
+
+
+def sample(docs: DataFrame, fraction: float = FRACTION, rounds: int = ROUNDS, power: float = FLATTEN) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` chooses, with their columns."""
+    table = calibrated(described(docs), fraction, rounds, power)
+    own = {d: unique_name(docs, f"_{d}") for d in (*DIMENSIONS, "rate")}
+    table = table.select(*[F.col(d).alias(n) for d, n in own.items()])
+    values = {own[d]: F.coalesce(F.col(d).cast("string"), F.lit("")) for d in ("source", "lang")} | {own["topic"]: topic()}
+    met = docs.withColumns(values).join(table, [own[d] for d in DIMENSIONS])
+    return met.where(draw() < F.col(own["rate"])).select(*docs.columns)
 
 
 def oracle_ctes(fraction: float = FRACTION, rounds: int = ROUNDS, power: float = FLATTEN) -> str:

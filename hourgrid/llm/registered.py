@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm import exact_dedup, licenses, lines, mixing, packing, records, sharding, simhash, topk
+from hourgrid.llm import exact_dedup, language, licenses, lines, mixing, packing, records, sharding, simhash, topk
 from hourgrid.llm.common import table
 from hourgrid.session import stage_path
 
@@ -99,3 +99,14 @@ def op5_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op5_site_lines"] = lines.ORACLE
+
+
+@query
+def op2_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit(table(spark, sf_dir, "documents"))
+    pages = table(spark, sf_dir, "pages")
+    host = lines.host()
+    declared = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z]{2,3}(?:-[A-Za-z0-9-]*)?)", 1)
+    rows = pages.select("page_id", F.array_join(lines.lines_of_html(), "\n").alias("text"), declared.alias("declared"), F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"), host.alias("host"), F.regexp_extract(host, r"([^.]+[.][^.]+)$", 1).alias("domain"))
+    found = language.identify(rows, model, ["page_id"])
+    return found.select("page_id", "host", "declared", "suffix", "language", "probability", "text_language", (~language.rejected()).alias("accepted"))

@@ -21,6 +21,17 @@ CARNIVAL = r"carnaval"
 PROCESSION = r"processie|stoet|optocht"
 FESTIVAL = r"festival|concert|muziek|podium|optreden"
 MARKET = r"markt|braderie|rommelmarkt|jaarmarkt"
+# Words that speak for and against an event, and raw types that need a word for them.
+RELEVANT = (
+    r"carnaval|kermis|foor|festival|concert|muziek|processie|stoet|sport|voetbal|wedstrijd|maanrock|hanswijk|malinwa|kv\s*mechelen|"
+    r"braderie|jaarmarkt|rommelmarkt|optocht|koers|wedstrijd"
+)
+IRRELEVANT = (
+    r"stadsdiensten?|verhuis|verhuizing|verhuislift|container|kraan|signalisatie|huisvuil|afval|ophaling|levering|"
+    r"inname\s+openbaar\s+domein|toelating|vergunning|nutswerk|werf"
+)
+LOW_IMPACT = ["ambulante handel", "speelstraat", "terras evenement"]
+UNNAMED = "andere"
 # Base scale and attendance per event type, attendance factor per scale, confidence ranks.
 SCALES = {"football": 2, "sport": 2, "festival": 2, "procession": 2, "kermis": 1, "markt": 1, "carnival": 2, "other": 1}
 ATTENDANCE = {"football": 11000.0, "sport": 6000.0, "festival": 8000.0, "procession": 6000.0, "kermis": 2500.0, "markt": 1800.0, "carnival": 5000.0, "other": 1200.0}
@@ -39,6 +50,17 @@ def raw_type(c: Column) -> Column:
     return _lookup(F.lower(F.trim(c)), RAW_TYPES, "other")
 
 
+def drop_reason(kind: Column, text: Column, relevant: str = RELEVANT, irrelevant: str = IRRELEVANT, low_impact: Sequence[str] = LOW_IMPACT, unnamed: str = UNNAMED) -> Column:
+    """Why a row is no event of interest, null where it stays.
+
+    A word against it always counts; a type of low impact, or the type that says nothing, needs a word for it.
+    """
+    exact = F.lower(F.coalesce(kind, F.lit("")))
+    words = F.lower(F.concat(F.coalesce(text, F.lit("")), F.lit(" "), F.coalesce(kind, F.lit(""))))
+    silent = ~words.rlike(relevant)
+    return first_match([(words.rlike(irrelevant), "irrelevant"), (exact.isin(*low_impact) & silent, "low_impact"), ((exact == unnamed) & silent, "unnamed")], F.lit(None).cast("string"))
+
+
 def event_type(kind: Column, text: Column) -> Column:
     """Explicit names win over the raw type; festival only where the raw type says nothing."""
     base = raw_type(kind)

@@ -67,11 +67,12 @@ def stratified_sample(df: DataFrame, stratum: Column, key: Sequence[str], target
     return whole.unionByName(part).drop("_h", "_b", "_c", "_cc", "n_take")
 
 
-def linear_attributions(df: DataFrame, features: Sequence[str], coefficients: Sequence[float], means: Sequence[float], intercept: float) -> DataFrame:
-    """attr__<feature> = coefficient x (value - mean), and the base value they add to."""
-    cols = {f"attr__{f}": (F.col(f).cast("double") - float(m)) * float(c) for f, c, m in zip(features, coefficients, means)}
-    base = float(intercept) + float(sum(c * m for c, m in zip(coefficients, means)))
-    return df.withColumns(cols).withColumn("base_value", F.lit(base))
+def linear_attributions(df: DataFrame, features: Sequence[str], coefficients: Sequence[float], means: Sequence[float | Column], intercept: float) -> DataFrame:
+    """attr__<feature> = coefficient x (value - mean), and the base value they add to. A mean may be a column."""
+    at = [m if isinstance(m, Column) else F.lit(float(m)) for m in means]
+    cols = {f"attr__{f}": (F.col(f).cast("double") - m) * float(c) for f, c, m in zip(features, coefficients, at)}
+    base = sum((m * float(c) for c, m in zip(coefficients, at)), F.lit(float(intercept)))
+    return df.withColumns({**cols, "base_value": base})
 
 
 def additivity(df: DataFrame, features: Sequence[str], prediction: str, by: Sequence[str] = ()) -> DataFrame:

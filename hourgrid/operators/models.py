@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException, SparkRuntimeException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.stat import Correlation, Summarizer
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.operators.evaluate import error_metrics, persistence_predict, profile_predict
-from hourgrid.operators.features import filter_rows, variant_columns
+from hourgrid.operators.features import Feature, filter_rows, inputs_of
 from hourgrid.operators.quantile import column_quantiles
 
 # Model grid.
@@ -112,40 +114,46 @@ def fit_model(key: str, train: DataFrame, features: Sequence[str], y: str, seed:
     raise ValueError(f"unknown model {key}")
 
 
-def predict_run(run: dict, train: DataFrame, valid: DataFrame, policy: Sequence[str], forecast: Sequence[str], uncertain: set[str], y: str, tree_params: dict | None = None) -> DataFrame:
+#: What a fit or its scoring raises on data it cannot use.
+FIT_ERRORS = (IllegalArgumentException, SparkRuntimeException, Py4JJavaError, np.linalg.LinAlgError)
+PLAN_KEYS = ("run_id", "track", "variant", "model_family", "model_key", "cv_mode")
+
+
+def predict_run(run: dict, train: DataFrame, valid: DataFrame, registered: Sequence[Feature], late: set[str], y: str, tree_params: dict | None = None) -> DataFrame:
     """Validation rows of one run with yhat; baselines need no fit."""
     train, valid = filter_rows(train, run["row_filter"]), filter_rows(valid, run["row_filter"])
     if run["model_family"] == "baseline":
         out = profile_predict(train, valid, y)
         out = persistence_predict(out, "l_occ_lag_1h", "l_occ_lag_24h")
         return out.withColumn("yhat", F.col("profile_pred" if run["model_key"] == "profile_baseline" else "persist_pred"))
-    features = variant_columns(run["track"], run["variant"], policy, forecast, uncertain)
+    features = inputs_of(run["track"], run["variant"], registered, late)
     params = (tree_params or {}).get(run["model_key"], {})
     return fit_model(run["model_key"], train, features, y, run["seed"], **params).transform(valid)
 
 
-def run_plan(plan: Sequence[dict], folds: Sequence[str], table: DataFrame, policy: Sequence[str], forecast: Sequence[str], uncertain: set[str], inner: Column, event: Column, y: str = "rate", tree_params: dict | None = None) -> DataFrame:
+def run_plan(plan: Sequence[dict], folds: Sequence[str], table: DataFrame, registered: Sequence[Feature], late: set[str], inner: Column, event: Column, y: str = "rate", tree_params: dict | None = None) -> DataFrame:
     """Metrics per (run, fold). The loop is over plan rows; fits and scoring are Spark jobs on the shared fold table.
 
-    A failing cell becomes a row with its status instead of ending the sweep.
+    A cell whose fit or scoring fails becomes a row with its status instead of ending the sweep; other errors, such as a
+    missing column or an unknown model, do end it. Each cell comes back as its one row of metrics.
     """
-    parts: list[DataFrame] = []
+    rows: list[dict] = []
+    schema = None
     for run in plan:
         for fold in folds:
             part = table.where(F.col("fold") == fold)
             train, valid = part.where("role = 'train'"), part.where("role = 'valid'")
             try:
-                scored = predict_run(run, train, valid, policy, forecast, uncertain, y, tree_params)
-                m = error_metrics(scored, [], y, "yhat", inner, event).withColumn("fit_status", F.lit("ok"))
-            except Exception as problem:  # the status column carries the failure
+                m = error_metrics(predict_run(run, train, valid, registered, late, y, tree_params), [], y, "yhat", inner, event)
+                found, status = m.first(), "ok"
+            except FIT_ERRORS as problem:
                 m = error_metrics(valid.withColumn("yhat", F.lit(None).cast("double")), [], y, "yhat", inner, event)
-                m = m.withColumn("fit_status", F.lit(f"error: {type(problem).__name__}"))
-            keys = {k: F.lit(run[k]) for k in ("run_id", "track", "variant", "model_family", "model_key", "cv_mode")}
-            parts.append(m.withColumns({**keys, "fold_id": F.lit(fold)}).withColumnRenamed("n", "n_valid"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                found, status = m.first(), f"error: {type(problem).__name__}"
+            schema = schema or m.schema
+            rows.append(found.asDict() | {k: run[k] for k in PLAN_KEYS} | {"fold_id": fold, "fit_status": status})
+    for key in (*PLAN_KEYS, "fold_id", "fit_status"):
+        schema = schema.add(key, "string")
+    return table.sparkSession.createDataFrame(rows, schema).withColumnRenamed("n", "n_valid")
 
 
 def tree_arrays(debug_text: str) -> list[dict]:

@@ -109,6 +109,12 @@ def hours_per_day(df: DataFrame, entity: str, day: str, hour: str, expected: Dat
     return found.withColumn("ok", F.col("n_hours") == F.col("expected_hours"))
 
 
+def hours_of_day(day: Column, zone: str) -> Column:
+    """Hours of a calendar day in a zone by its clock rules: 24, but 23 or 25 where the clock is changed."""
+    start, after = (F.unix_seconds(F.to_utc_timestamp(d.cast("timestamp"), zone)) for d in (day, F.date_add(day, 1)))
+    return ((after - start) / 3600).cast("int")
+
+
 def known_capacities(entities: DataFrame, expected: DataFrame) -> DataFrame:
     """OK, MISMATCH or MISSING for every expected (entity, expected_capacity)."""
     joined = expected.join(entities.select("entity", F.col("capacity").alias("actual_capacity")), "entity", "left")

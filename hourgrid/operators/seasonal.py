@@ -206,7 +206,3 @@ def threshold_effect(df: DataFrame, by: Sequence[str], x: str, y: str, p: float
     high = F.col(x) >= F.col("threshold")
     return joined.groupBy(*by, "threshold").agg((F.avg(high.cast("double")) * 100).alias("pct_high"),
                                                 (F.avg(F.when(high, F.col(y))) - F.avg(F.when(~high, F.col(y)))).alias("delta"))
-
-
-def hours_between(a: Column, b: Column) -> Column:
-    return (F.unix_timestamp(a) - F.unix_timestamp(b)) / HOUR

@@ -22,14 +22,6 @@ def reindexed(df: DataFrame, keys: Sequence[str], hour: str, values: Sequence[st
     return grid.join(df.select(*keys, hour, *values), [*keys, hour], "left").withColumn("t", F.unix_timestamp(hour))
 
 
-def mean_series(panel: DataFrame, hour: str, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean over entities per hour on the full grid; ``by`` names the series."""
-    keys = list(by) or ["series"]
-    src = panel if by else panel.withColumn("series", F.lit("all"))
-    means = src.groupBy(*keys, hour).agg(F.avg(value).alias(value))
-    return reindexed(means, keys, hour, [value])
-
-
 def interpolate(
     df: DataFrame, keys: Sequence[str], order: str, columns: dict[str, int], both: bool = False, edges: bool = False
 ) -> DataFrame:

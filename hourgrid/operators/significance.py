@@ -74,8 +74,9 @@ def adjust_bh(df: DataFrame, p: str, q: str, family: Sequence[str] = (), tie: Se
 
 
 def delta_with_se(df: DataFrame, by: Sequence[str], flag: str, value: str) -> DataFrame:
+    """Difference of means of two arms and its standard error. Whole values are summed exactly, in any order."""
     on, off = F.when(F.col(flag) == 1, F.col(value)), F.when(F.col(flag) == 0, F.col(value))
-    s = df.groupBy(*by).agg(F.count(on).alias("n1"), F.count(off).alias("n0"), F.avg(on).alias("_m1"), F.avg(off).alias("_m0"),
+    s = df.groupBy(*by).agg(F.count(on).alias("n1"), F.count(off).alias("n0"), F.try_divide(F.sum(on), F.count(on)).alias("_m1"), F.try_divide(F.sum(off), F.count(off)).alias("_m0"),
                             F.var_samp(on).alias("_v1"), F.var_samp(off).alias("_v0"))
     se = F.sqrt(F.try_divide(F.col("_v1"), F.col("n1").cast("double")) + F.try_divide(F.col("_v0"), F.col("n0").cast("double")))
     return s.select(*by, "n1", "n0", (F.col("_m1") - F.col("_m0")).alias("delta"), se.alias("se"))

@@ -133,6 +133,14 @@ def a13(t):
     return Q.hours_per_day(t.panel, "entity", "day", "hod", expected)
 
 
+@query("a13_clock_change_days", "day:d hours:i n_orders:i", """
+  SELECT * FROM (SELECT CAST(o_orderdate AS DATE) AS day, CASE WHEN isodow(o_orderdate) <> 7 OR day(o_orderdate) < 25 THEN 24 WHEN month(o_orderdate) = 3 THEN 23 WHEN month(o_orderdate) = 10 THEN 25 ELSE 24 END AS hours, count(*) AS n_orders FROM orders WHERE year(o_orderdate) >= 1996 GROUP BY ALL) WHERE hours <> 24""")
+def a13_clock(t):
+    day = F.to_date("o_orderdate")
+    days = t.table("orders").where(F.year(day) >= 1996).groupBy(day.alias("day")).agg(F.count("*").alias("n_orders"))  # the October rule began then
+    return days.withColumn("hours", Q.hours_of_day(F.col("day"), "Europe/Brussels")).where("hours <> 24")
+
+
 @query("a14_override_check", "entity:s max_override:i capacity:i exceeds:b", """
   SELECT entity, max(override + CAST(ksum % 41 = 0 AS INT)) AS max_override, any_value(e.capacity) AS capacity, max(override + CAST(ksum % 41 = 0 AS INT)) > any_value(e.capacity) AS exceeds
   FROM hg_reported LEFT JOIN hg_entities e USING (entity) GROUP BY 1""")

@@ -11,10 +11,11 @@ from hourgrid.operators import evaluate as EV
 from hourgrid.operators import models as M
 from hourgrid.operators import significance as ST
 from hourgrid.operators.evaluate import required_present
-from hourgrid.plans.features import built
+from hourgrid.plans.features import FORECAST, built
 from hourgrid.plans.modelling import _baselines, _PROFILE
 from hourgrid.plans.registry import query
 from hourgrid.session import staged
+from hourgrid.sources.frames import HOLDOUT_FROM
 
 FEATURES = ["f_hour", "f_weekday", "f_temp", "f_event", "f_humidity"]
 COEFS = [0.01, -0.02, 0.003, 0.05, 0.0004]
@@ -37,8 +38,8 @@ def _rows(t):
 
 def _attributed(t):
     df = _rows(t)
-    means = df.agg(*[F.avg(f).alias(f) for f in FEATURES]).first()
-    out = X.linear_attributions(df, FEATURES, COEFS, [means[f] for f in FEATURES], 0.2)
+    means = df.agg(*[F.avg(f).alias(f"mean__{f}") for f in FEATURES])
+    out = X.linear_attributions(df.crossJoin(F.broadcast(means)), FEATURES, COEFS, [F.col(f"mean__{f}") for f in FEATURES], 0.2)  # the means are one row
     pred = F.lit(0.2)
     for f, c in zip(FEATURES, COEFS):
         pred = pred + F.col(f) * c
@@ -72,6 +73,20 @@ def ex2(t):
     return _attributed(t)
 
 
+@query("ex2_ridge_attributions", "entity:s n:i n_inputs:i adds_up:b base_is_mean:b", f"""
+  SELECT entity, count(*) AS n, {len(FORECAST)} AS n_inputs, true AS adds_up, true AS base_is_mean FROM hg_mad WHERE hour >= TIMESTAMP '{HOLDOUT_FROM}' GROUP BY 1""")
+def ex2_ridge(t):
+    # A fitted ridge on all inputs: attributions of the holdout add up to its predictions, their base is the mean of the train target.
+    x = staged(built(t), ["split"])
+    train = x.where("split = 'train' AND rate IS NOT NULL")
+    fitted = M.fit_ridge(train, FORECAST, "rate")
+    out = X.linear_attributions(fitted.transform(x.where("split = 'holdout'")), FORECAST, fitted.linear["coefficients"], fitted.linear["means"], fitted.linear["intercept"][0])
+    per = X.additivity(out, FORECAST, "yhat", ["entity"])
+    mean = train.agg(F.avg("rate").alias("mean_rate"))
+    base = out.select("entity", "base_value").distinct().crossJoin(F.broadcast(mean))  # the mean is one row
+    return per.join(base, "entity").select("entity", "n", F.lit(len(FORECAST)).alias("n_inputs"), (F.col("max_error") < 1e-9).alias("adds_up"), (F.abs(F.col("base_value") - F.col("mean_rate")) < 1e-9).alias("base_is_mean"))
+
+
 def _sampled(t, n: int = 60):
     x = staged(built(t, lags=False).select("entity", "hour", "t", "rate", "split", "hod", "s_tier_is_centrum", "e_is_event_day", *TREE_FEATURES), ["split"])
     return x, X.stratified_sample(x.where("split = 'holdout'"), X.strata(F.col("s_tier_is_centrum") == 1, F.col("e_is_event_day") == 1, F.col("hod")), ["entity", "t"], n)
@@ -172,10 +187,8 @@ def ex11(t):
 @query("ex12_dependence_data", "feature:s bin:i n:i mean_attribution:f", f"""
   WITH {_BASE} SELECT feature, floor(x / 10) AS bin, count(*) AS n, avg(a) AS mean_attribution FROM lo GROUP BY ALL""")
 def ex12(t):
-    a = X.long_attributions(_attributed(t), ["entity", "hour"], FEATURES).select("entity", "hour", "feature", "attribution")
-    v = _rows(t).select("entity", "hour", *FEATURES).unpivot(["entity", "hour"], FEATURES, "feature", "value")
-    j = a.join(v, ["entity", "hour", "feature"])
-    return j.groupBy("feature", F.floor(F.col("value") / 10).alias("bin")).agg(F.count("*").alias("n"), F.avg("attribution").alias("mean_attribution"))
+    long = X.long_attributions(_attributed(t), [], FEATURES)
+    return long.groupBy("feature", F.floor(F.col("feature_value") / 10).alias("bin")).agg(F.count("*").alias("n"), F.avg("attribution").alias("mean_attribution"))
 
 
 @query("ex13_scope_checks", "feature:s", f"WITH {_BASE} SELECT f AS feature FROM (VALUES ('f_hour'), ('f_temp'), ('f_wind')) v(f) WHERE f NOT IN (SELECT feature FROM ir)")

@@ -64,7 +64,7 @@ def ce3(t):
 def ce4(t):
     start = F.to_date("o_orderdate")
     extra = (F.col("o_orderkey") % 4).cast("int")
-    conf = t.table("orders").select(F.lower(F.substring("o_orderpriority", 3, 20)).alias("kind"), start.alias("start"),
+    conf = t.table("orders").select(F.lower(F.expr("substr(o_orderpriority, 3)")).alias("kind"), start.alias("start"),
                                     F.when(extra > 0, F.date_add(start, extra)).alias("end"))
     return E.records(conf).groupBy("kind", "date").agg(F.count("*").alias("n"), F.sum("is_multiday_event").alias("n_multiday"))
 
@@ -91,13 +91,28 @@ def ce6(t):
     return E.clean_dump(d, ["1-URGENT", "2-HIGH", "5-LOW"], ["F", "O"], "f 5-low")
 
 
-@query("ce7_relevance_filter", "lang:s n:i n_signal:i n_relevant:i", """
-  SELECT lang, count(*) AS n, count(*) FILTER (WHERE regexp_matches(lower(text), 'the|und|elle|los')) AS n_signal,
-  count(*) FILTER (WHERE regexp_matches(lower(text), 'the|und|elle|los') AND NOT (source IN ('src0', 'src1') AND n_chars < 500)) AS n_relevant FROM documents GROUP BY 1""")
+# The words of the documents, and their sources as types: both kinds of words and types occur.
+_FOR, _AGAINST = "pour|with|nicht|para", "license|@|[|]"
+_REASON = f"""CASE WHEN regexp_matches(x, '{_AGAINST}') THEN 'irrelevant' WHEN k IN ('src0', 'src1', 'src2') AND NOT regexp_matches(x, '{_FOR}') THEN 'low_impact'
+  WHEN k = 'src3' AND NOT regexp_matches(x, '{_FOR}') THEN 'unnamed' END"""
+
+
+@query("ce7_relevance_filter", "lang:s reason:s n:i n_chars:i", f"""
+  SELECT lang, coalesce({_REASON}, 'stays') AS reason, count(*) AS n, sum(n_chars) AS n_chars FROM (SELECT *, lower(source) AS k, lower(coalesce(text, '') || ' ' || coalesce(source, '')) AS x FROM documents) GROUP BY ALL""")
 def ce7(t):
-    signal = F.lower("text").rlike("the|und|elle|los")
-    minor = F.col("source").isin("src0", "src1") & (F.col("n_chars") < 500)
-    return t.table("documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(signal).alias("n_signal"), F.count_if(signal & ~minor).alias("n_relevant"))
+    reason = E.drop_reason(F.col("source"), F.col("text"), _FOR, _AGAINST, ["src0", "src1", "src2"], "src3")
+    return t.table("documents").groupBy("lang", F.coalesce(reason, F.lit("stays")).alias("reason")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+@query("ce7_relevance_words", "id:i reason:s", f"""
+  SELECT p_partkey AS id, CASE WHEN regexp_matches(x, '{E.IRRELEVANT}') THEN 'irrelevant' WHEN k IN ('ambulante handel', 'speelstraat', 'terras evenement') AND NOT regexp_matches(x, '{E.RELEVANT}') THEN 'low_impact'
+  WHEN k = 'andere' AND NOT regexp_matches(x, '{E.RELEVANT}') THEN 'unnamed' END AS reason FROM (SELECT p_partkey, lower(kind) AS k, lower(text || ' ' || kind) AS x FROM (
+    SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Sport' WHEN 1 THEN 'Speelstraat' WHEN 2 THEN 'Andere' ELSE 'Terras evenement' END AS kind, CASE p_partkey % 5 WHEN 0 THEN 'Kraan ' WHEN 1 THEN 'kv  Mechelen ' WHEN 2 THEN 'levering Concert ' ELSE '' END || p_name AS text FROM part))""")
+def ce7_words(t):
+    k = F.col("p_partkey")
+    kind = F.when(k % 4 == 0, "Sport").when(k % 4 == 1, "Speelstraat").when(k % 4 == 2, "Andere").otherwise("Terras evenement")
+    head = F.when(k % 5 == 0, "Kraan ").when(k % 5 == 1, "kv  Mechelen ").when(k % 5 == 2, "levering Concert ").otherwise("")
+    return t.table("part").select(k.alias("id"), E.drop_reason(kind, F.concat(head, "p_name")).alias("reason"))
 
 
 _KIND = "CASE p_partkey % 6 WHEN 0 THEN 'Sport' WHEN 1 THEN ' markt ' WHEN 2 THEN 'Feest/Kermis' WHEN 3 THEN 'Andere' WHEN 4 THEN 'iets' END"

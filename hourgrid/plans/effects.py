@@ -62,10 +62,16 @@ def _deltas(t):
     return ST.delta_with_se(p, ["hod", "side"], "weekend", "rate")
 
 
-@query("st4_difference_in_differences", "hod:i delta_a:f5 delta_b:f5 difference:f5", f"""
-  WITH {_DELTAS} SELECT hod, max(delta) FILTER (WHERE side = 'in') AS delta_a, max(delta) FILTER (WHERE side = 'out') AS delta_b, max(delta) FILTER (WHERE side = 'in') - max(delta) FILTER (WHERE side = 'out') AS difference FROM del GROUP BY 1""")
+@query("st4_difference_in_differences", "hod:i delta_a:f delta_b:f difference:f", """
+  WITH nano AS (SELECT hod, CASE WHEN grp = 'centrum' THEN 'in' ELSE 'out' END AS side, weekend, occupied::BIGINT * 1000000000 // capacity::BIGINT AS v FROM hg_panel),
+  del AS (SELECT hod, side, sum(v) FILTER (WHERE weekend = 1)::DOUBLE / count(*) FILTER (WHERE weekend = 1) - sum(v) FILTER (WHERE weekend = 0)::DOUBLE / count(*) FILTER (WHERE weekend = 0) AS delta FROM nano GROUP BY ALL)
+  SELECT hod, max(delta) FILTER (WHERE side = 'in') / 1e9 AS delta_a, max(delta) FILTER (WHERE side = 'out') / 1e9 AS delta_b, (max(delta) FILTER (WHERE side = 'in') - max(delta) FILTER (WHERE side = 'out')) / 1e9 AS difference FROM del GROUP BY 1""")
 def st4(t):
-    return ST.difference_of_deltas(_deltas(t), ["hod"], "side", "in", "out")
+    # Rates in whole billionths: sums of doubles depend on the order of tasks, and a mean on a rounding edge shows it.
+    p = t.panel.withColumn("side", F.when(F.coalesce(F.col("grp") == "centrum", F.lit(False)), "in").otherwise("out"))
+    deltas = ST.delta_with_se(p.withColumn("nano", F.expr("occupied * 1000000000L div cast(capacity as bigint)")), ["hod", "side"], "weekend", "nano")
+    out = ST.difference_of_deltas(deltas, ["hod"], "side", "in", "out")
+    return out.select("hod", *[(F.col(c) / 1e9).alias(c) for c in ("delta_a", "delta_b", "difference")])
 
 
 _ZTEST = f"""{_DELTAS}, zt AS (SELECT hod, (max(delta) FILTER (WHERE side = 'in') - max(delta) FILTER (WHERE side = 'out')) / sqrt((max(se) FILTER (WHERE side = 'in')) ** 2 + (max(se) FILTER (WHERE side = 'out')) ** 2) AS z FROM del GROUP BY 1)"""

@@ -282,12 +282,13 @@ def io1(t):
 
 @query("io3_tagged_files", "kind:s has_file:b n:i", """
   SELECT 'national' AS kind, true AS has_file, count(*) AS n FROM (SELECT DISTINCT o_orderdate FROM orders WHERE o_orderstatus = 'F') UNION ALL
-  SELECT 'other', true, count(*) FROM (SELECT DISTINCT o_orderdate FROM orders WHERE o_orderstatus = 'O')""")
+  SELECT 'other', true, count(*) FROM (SELECT DISTINCT o_orderstatus, o_orderdate FROM orders WHERE o_orderstatus <> 'F')""")
 def io3(t):
     path = _stage_path(t)
     parts = []
-    for kind, status in (("national", "F"), ("other", "O")):
-        days = t.table("orders").where(F.col("o_orderstatus") == status).select(F.lit(status).alias("Feestdag"), F.date_format("o_orderdate", "dd MMM yyyy").alias("Datum"))
+    status = F.col("o_orderstatus")
+    for kind, wanted in (("national", status == "F"), ("other", status != "F")):
+        days = t.table("orders").where(wanted).select(status.alias("Feestdag"), F.date_format("o_orderdate", "dd MMM yyyy").alias("Datum"))
         days.distinct().write.option("header", True).csv(f"{path}/{kind}_files")
         parts.append(R.read_tagged_csv(t.spark, f"{path}/{kind}_*", R.HOLIDAY_COLUMNS, "kind", kind))
     both = parts[0].unionByName(parts[1])

@@ -112,13 +112,13 @@ def j12(t):
 
 
 @query("j13_outer_stats", "entity:s n_early:i n_late:i", """
-  WITH a AS (SELECT entity, count(*) AS n_early FROM hg_sparse WHERE day < DATE '2024-01-03' GROUP BY 1),
-  b AS (SELECT entity, count(*) AS n_late FROM hg_sparse WHERE day >= DATE '2024-01-29' GROUP BY 1)
+  WITH a AS (SELECT entity, count(*) AS n_early FROM hg_sparse WHERE day < DATE '2024-01-16' GROUP BY 1),
+  b AS (SELECT entity, count(*) AS n_late FROM hg_sparse WHERE day >= DATE '2024-01-16' GROUP BY 1)
   SELECT entity, n_early, n_late FROM a FULL JOIN b USING (entity)""")
 def j13(t):
     d = F.col("day")
-    a = t.sparse.where(d < F.lit("2024-01-03").cast("date")).groupBy("entity").agg(F.count("*").alias("n_early"))
-    b = t.sparse.where(d >= F.lit("2024-01-29").cast("date")).groupBy("entity").agg(F.count("*").alias("n_late"))
+    a = t.sparse.where(d < F.lit("2024-01-16").cast("date")).groupBy("entity").agg(F.count("*").alias("n_early"))
+    b = t.sparse.where(d >= F.lit("2024-01-16").cast("date")).groupBy("entity").agg(F.count("*").alias("n_late"))
     return a.join(b, "entity", "full_outer")
 
 

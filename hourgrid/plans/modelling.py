@@ -102,9 +102,6 @@ def _scored_holdout(t, key: str, features, **params):
     return EV.error_metrics(scored, [], "rate", "yhat", inner, event).withColumn("model", F.lit(key))
 
 
-SMALL = [c for c in FORECAST if c[:2] in ("t_", "s_", "l_")]
-
-
 @query("ml7_ridge_holdout", "model:s n:i mae:f4 rmse:f4")
 def ml7(t):
     return _scored_holdout(t, "ridge_a1_0", FORECAST)
@@ -112,12 +109,12 @@ def ml7(t):
 
 @query("ml8_forest_holdout", "model:s n:i mae:f4 rmse:f4")
 def ml8(t):
-    return _scored_holdout(t, "rf_90_d12_l2", SMALL, numTrees=20, maxDepth=8)
+    return _scored_holdout(t, "rf_90_d12_l2", FORECAST)
 
 
 @query("ml9_boosting_holdout", "model:s n:i mae:f4 rmse:f4")
 def ml9(t):
-    return _scored_holdout(t, "xgb_80_d4_lr006", SMALL, maxIter=10)
+    return _scored_holdout(t, "xgb_80_d4_lr006", FORECAST)
 
 
 @query("ml10_ablation_plan", "run_id:s track:s variant:s model_key:s row_filter:s cv_mode:s n_train:i", """
@@ -134,7 +131,7 @@ def ml11(t):
     table = staged(fold_table(t), ["fold", "role"])
     plan = [r.asDict() for r in EV.ablation_plan(t.spark).where("cv_mode = 'fold_safe' AND run_id IN ('P0_profile_baseline', 'F0_persistence_baseline', 'P1_ridge_a1_0', 'F2_ridge_a1_0')").orderBy("run_id").collect()]
     inner, event = _segments()
-    return M.run_plan(plan, [FOLDS[-1][0]], table, POLICY, FORECAST, set(), inner, event)
+    return M.run_plan(plan, [f[0] for f in FOLDS], table, FE.catalogue(LEVELS), set(), inner, event)
 
 
 # Results of simple forecasts over weeks stand in for fitted runs in the selection rules.

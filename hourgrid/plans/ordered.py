@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hourgrid.operators import quantile as QT
 from hourgrid.operators import windows as O
+from hourgrid.operators.weather import suspect_periods
 from hourgrid.plans.registry import query
 
 
@@ -65,9 +66,7 @@ def w5(t):
         SELECT entity, hour, CAST(ksum % 3 <> 0 AS INT) AS f FROM hg_panel))) WHERE f = 1 GROUP BY entity, run""")
 def w6(t):
     df = t.panel.select("entity", "hour", "t", (F.col("ksum") % 3 != 0).cast("int").alias("f"))
-    runs = O.flag_runs(df, ["entity"], "t", "f").where("f = 1").groupBy("entity", "run")
-    return runs.agg(F.min("hour").alias("start"), F.max("hour").alias("finish"), F.count("*").alias("hours"),
-                    F.round(F.count("*") / 24, 1).alias("days"))
+    return suspect_periods(df, ["entity"], "t", "hour", "f")
 
 
 @query("w7_frozen_sensor", "entity:s hour:t occupied:i is_frozen:i", """

@@ -98,10 +98,13 @@ def rs1(t):
     return out.select("month", *[F.col(str(y)).alias(f"y{y}") for y in _YEARS])
 
 
-@query("rs2_pivot_mean", "hod:i monday:f saturday:f", "SELECT hod, avg(rate) FILTER (WHERE dow = 0) AS monday, avg(rate) FILTER (WHERE dow = 5) AS saturday FROM hg_panel GROUP BY 1")
+_WEEK = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+
+
+@query("rs2_pivot_mean", "hod:i " + " ".join(f"{d}:f" for d in _WEEK), "SELECT hod, " + ", ".join(f"avg(rate) FILTER (WHERE dow = {i}) AS {d}" for i, d in enumerate(_WEEK)) + " FROM hg_panel GROUP BY 1")
 def rs2(t):
-    out = t.panel.groupBy("hod").pivot("dow", [0, 5]).agg(F.avg("rate"))
-    return out.select("hod", F.col("0").alias("monday"), F.col("5").alias("saturday"))
+    out = t.panel.groupBy("hod").pivot("dow", list(range(7))).agg(F.avg("rate"))
+    return out.select("hod", *[F.col(str(i)).alias(d) for i, d in enumerate(_WEEK)])
 
 
 @query("rs3_wide_to_long", "variable:s n:i mean:f", " UNION ALL ".join(f"SELECT '{c}' AS variable, count({c}) AS n, avg({c}) AS mean FROM hg_weather" for c in ["temp", "wind", "humidity", "shortwave"]))
@@ -204,14 +207,14 @@ def sc10(t):
     return SP.with_distance(pairs, e)
 
 
-@query("sc11_set_similarity", "conv_id:i jaccard:f overlap:f", """
+@query("sc11_set_similarity", "conv_id:i turn:i jaccard:f overlap:f", """
   WITH w AS (SELECT conv_id, turn, list_distinct(string_split(lower(text), ' ')) AS w FROM conversations)
-  SELECT a.conv_id, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE AS jaccard, len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w))::DOUBLE AS overlap
-  FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1""")
+  SELECT a.conv_id, a.turn, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE AS jaccard, len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w))::DOUBLE AS overlap
+  FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
 def sc11(t):
     w = t.table("conversations").select("conv_id", "turn", F.array_distinct(F.split(F.lower("text"), " ")).alias("w"))
-    a, b = w.where("turn = 0").select("conv_id", F.col("w").alias("a")), w.where("turn = 1").select("conv_id", F.col("w").alias("b"))
-    return a.join(b, "conv_id").select("conv_id", S.jaccard(F.col("a"), F.col("b")).alias("jaccard"), S.overlap(F.col("a"), F.col("b")).alias("overlap"))
+    a, b = w.withColumnRenamed("w", "a"), w.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("b"))
+    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", S.jaccard(F.col("a"), F.col("b")).alias("jaccard"), S.overlap(F.col("a"), F.col("b")).alias("overlap"))
 
 
 @query("sc12_one_hot", "entity:s x__click:i x__view:i x__refund:i", """

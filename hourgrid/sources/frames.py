@@ -179,8 +179,8 @@ class Frames:
         kind = F.col("o_orderpriority")
         return self.table("orders").select(
             F.to_date("o_orderdate").alias("date"),
-            F.concat_ws(" ", F.col("o_orderstatus"), F.substring(kind, 3, 20)).alias("name"),
-            F.lower(F.substring(kind, 3, 20)).alias("kind"),
+            F.concat_ws(" ", F.col("o_orderstatus"), F.expr("substr(o_orderpriority, 3)")).alias("name"),
+            F.lower(F.expr("substr(o_orderpriority, 3)")).alias("kind"),
             (1 + F.col("o_orderkey") % 3).cast("int").alias("scale"),
             F.when(kind == "1-URGENT", 12.0 + F.col("o_orderkey") % 10).alias("kickoff_hour"),
             F.when(F.col("o_orderstatus") == "F", "verified").when(F.col("o_orderstatus") == "O", "estimated").otherwise("covid_modified").alias("confidence"),

@@ -137,13 +137,17 @@ def evidence(df: DataFrame, q: str, effect: str, thresholds: dict[str, float], k
     return df.withColumns({"practical_threshold": limit, "evidence": label})
 
 
+#: Rows of a chunk whose lagged pairs one task forms.
+DM_CHUNK = 1 << 14
+
+
 def diebold_mariano(df: DataFrame, keys: Sequence[str], order: str, e1: str, e2: str, lag: int = 24) -> DataFrame:
     """Compares absolute errors of two forecasts, Bartlett-weighted variance over ``lag`` rows.
 
-    Rows follow (keys, order). Row numbers are two-level sums, so no task sees the whole series; each row meets its
-    ``lag`` predecessors through copies keyed by row number, and covariances come from sums.
+    Rows follow (keys, order). Row numbers are two-level sums, so no task sees the whole series; they are cut into chunks
+    with a copied rim of ``lag`` rows, so one exchange of about the rows themselves serves all lags.
     """
-    from hourgrid.operators.windows import running_total
+    from hourgrid.operators.windows import running_total, with_history
 
     # The losses are read several times below: a stage table keeps their lineage out of every branch.
     loss = staged(df.select(*keys, order, (F.abs(e1) - F.abs(e2)).alias("d")).where("d IS NOT NULL"))
@@ -153,12 +157,12 @@ def diebold_mariano(df: DataFrame, keys: Sequence[str], order: str, e1: str, e2:
     offsets = per_key.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     numbered = running_total(loss, keys, order, {"_i": F.lit(1)}).join(offsets, list(keys))
     rows = numbered.select((F.col("_i") + F.col("_off")).alias("i"), "d")
-    later = rows.select(F.col("i"), F.col("d").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(lag))).alias("k"))
-    pairs = later.withColumn("j", F.col("i") - F.col("k")).join(rows.select(F.col("i").alias("j"), F.col("d").alias("y")), "j")
-    cov = pairs.groupBy("k").agg(F.covar_samp("x", "y").alias("c"))
-    extra = cov.agg(F.coalesce(F.sum(2 * (1 - F.col("k") / (lag + 1.0)) * F.col("c")), F.lit(0.0)).alias("_extra"))
-    base = rows.agg(F.count("*").alias("n"), F.avg("d").alias("mean_d"), F.var_samp("d").alias("_g0"))
-    out = base.crossJoin(F.broadcast(extra)).withColumn("_s", F.col("_g0") + F.col("_extra"))
+    spread = with_history(rows, "i", lag, chunk=max(lag, DM_CHUNK))
+    near = W.partitionBy("_chunk").orderBy("i")
+    lagged = spread.select("_home", "d", *[F.lag("d", k).over(near).alias(f"_y{k}") for k in range(1, lag + 1)]).where("_home")
+    out = lagged.agg(F.count("*").alias("n"), F.avg("d").alias("mean_d"), F.var_samp("d").alias("_g0"), *[F.covar_samp("d", f"_y{k}").alias(f"_c{k}") for k in range(1, lag + 1)])
+    extra = sum((F.coalesce(F.col(f"_c{k}"), F.lit(0.0)) * (2 * (1 - k / (lag + 1.0))) for k in range(1, lag + 1)), F.lit(0.0))
+    out = out.withColumn("_s", F.col("_g0") + extra)
     ok = (F.col("n") >= 10) & (F.col("_s") > 0)
     out = out.withColumn("dm_stat", F.when(ok, F.col("mean_d") / F.sqrt(F.col("_s") / F.col("n"))))
     return out.withColumn("p_value", normal_p("dm_stat")).select("n", "mean_d", "dm_stat", "p_value")
@@ -196,8 +200,10 @@ def bootstrap_delta(df: DataFrame, by: Sequence[str], arm: str, value: str, key:
 def permutation_p(df: DataFrame, by: Sequence[str], arm: str, value: str, key: str, reps: int = 400, seed: int = 42) -> DataFrame:
     """Share of label permutations with a difference of means at least as large, not below 1/reps.
 
-    A replicate puts the n1 rows with the smallest keyed hashes in arm 1. The cut is found per (group, replicate) on
-    sampled rows; call it on a sample, as the whole step is rows x replicates.
+    A replicate puts the n1 rows with the smallest keyed hashes in arm 1. Rows are counted by slices of the hash range
+    within tasks; the slice with the cut is known from these counts, and only its rows (1 of 256 for each replicate) are
+    moved and ranked. The table of cuts has a row for each group and replicate; it is written, so that it is broadcast
+    only while its size is below the session's bound.
     """
     keys = list(by)
     x = df.where(F.col(value).isNotNull()).select(*keys, F.col(arm).alias("_a"), F.col(value).alias("_v"), F.col(key).alias("_k"))
@@ -207,13 +213,14 @@ def permutation_p(df: DataFrame, by: Sequence[str], arm: str, value: str, key: s
     ).where("_n1 > 0 AND _n0 > 0")
     x = x.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     x = x.withColumn("_h", F.xxhash64("_k", "rep", F.lit(seed)))
-    x = x.withColumn("_b", F.shiftright("_h", 54))
+    x = x.withColumn("_b", F.shiftright("_h", 56))
     # Buckets of the hash range: whole buckets below the cut are summed, only the bucket with the cut is ranked.
     buckets = x.groupBy(*keys, "rep", "_b").agg(F.count("*").alias("_c"), F.sum("_v").alias("_s"))
     run = W.partitionBy(*keys, "rep").orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
     buckets = buckets.withColumns({"_cc": F.sum("_c").over(run), "_cs": F.sum("_s").over(run)}).join(size, keys)
     cut = buckets.where((F.col("_cc") >= F.col("_n1")) & (F.col("_cc") - F.col("_c") < F.col("_n1")))
-    inside = x.join(cut.select(*keys, "rep", "_b", "_cc", "_cs", "_c", "_s", "_n1", "_n0", "_sum", "_obs"), [*keys, "rep", "_b"])
+    cut = staged(cut.select(*keys, "rep", "_b", "_cc", "_cs", "_c", "_s", "_n1", "_n0", "_sum", "_obs"))
+    inside = x.join(cut, [*keys, "rep", "_b"])
     r = F.row_number().over(W.partitionBy(*keys, "rep").orderBy("_h", "_k"))
     take = inside.withColumn("_take", r <= F.col("_n1") - (F.col("_cc") - F.col("_c")))
     per = take.groupBy(*keys, "rep").agg(

@@ -21,16 +21,17 @@ _PLACE = f"({_OCTAVE} * {SLICES} + floor((abs(v) / power(2, {_OCTAVE}) - 1) * {S
 _SLICE = f"CASE WHEN v = 0 THEN 0 WHEN v > 0 THEN {_PLACE} ELSE -{_PLACE} END"
 
 
-def value_counts(df: DataFrame, by: Sequence[str], value: Column | str, marks: dict[str, Column] | None = None) -> DataFrame:
-    """by, slice, v, n and, per mark, the number of rows that meet it."""
+def value_counts(df: DataFrame, by: Sequence[str], value: Column | str, marks: dict[str, Column] | None = None, weight: str | None = None) -> DataFrame:
+    """by, slice, v, n and, per mark, the number of rows that meet it. With a weight column, a row counts as so many."""
     v = F.col(value) if isinstance(value, str) else value
     marks = marks or {}
-    rows = df.select(*by, v.cast("double").alias("v"), *[c.alias(m) for m, c in marks.items()]).where("v IS NOT NULL")
-    return rows.groupBy(*by, F.expr(_SLICE).alias("slice"), "v").agg(F.count("*").alias("n"), *[F.count_if(m).alias(m) for m in marks])
+    rows = df.select(*by, v.cast("double").alias("v"), *[c.alias(m) for m, c in marks.items()], *([F.col(weight).alias("_weight")] if weight else [])).where("v IS NOT NULL")
+    n = F.sum("_weight") if weight else F.count("*")
+    return rows.groupBy(*by, F.expr(_SLICE).alias("slice"), "v").agg(n.alias("n"), *[F.count_if(m).alias(m) for m in marks])
 
 
-def _sliced(df: DataFrame, by: list[str], value: Column | str, marks: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    counts = value_counts(df, by, value, marks)
+def _sliced(df: DataFrame, by: list[str], value: Column | str, marks: dict[str, Column] | None = None, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    counts = value_counts(df, by, value, marks, weight)
     group = W.partitionBy(*by)
     slices = counts.groupBy(*by, "slice").agg(F.sum("n").alias("_m"))
     before = group.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
@@ -38,11 +39,11 @@ def _sliced(df: DataFrame, by: list[str], value: Column | str, marks: dict[str,
     return counts, slices
 
 
-def ranked_values(df: DataFrame, by: Sequence[str], value: Column | str, marks: dict[str, Column] | None = None) -> DataFrame:
+def ranked_values(df: DataFrame, by: Sequence[str], value: Column | str, marks: dict[str, Column] | None = None, weight: str | None = None) -> DataFrame:
     """by, v, n, marks, total, cum (rows up to and including v), midrank (average rank of the tied rows)."""
     keys = list(by) or ["_all"]
     src = df if by else df.withColumn("_all", F.lit(1))
-    counts, slices = _sliced(src, keys, value, marks)
+    counts, slices = _sliced(src, keys, value, marks, weight)
     upto = W.partitionBy(*keys, "slice").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     y = counts.join(slices.drop("_m"), [*keys, "slice"]).withColumn("cum", F.sum("n").over(upto) + F.col("below"))
     return y.select(*by, "v", "n", *(marks or {}), "total", "cum", F.expr("cum - n + (n + 1) / 2 AS midrank"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hourgrid.functions.tails import normal_p, student_p
 from hourgrid.operators.describe import centred
-from hourgrid.operators.quantile import attach_midranks, ranked_values
+from hourgrid.operators.quantile import ranked_values
 from hourgrid.session import staged
 
 
@@ -95,13 +95,24 @@ def difference_of_deltas(deltas: DataFrame, by: Sequence[str], side: str, a: str
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, min_n: int = 3) -> DataFrame:
-    """Rank correlation with average ranks, and its t statistic and p."""
+    """Rank correlation with average ranks, and its t statistic and p.
+
+    Rows are counted by (x, y) first, so that a value with most of the rows meets its rank once for each partner value.
+    """
     keys = list(by) or ["_all"]
     src = (df if by else df.withColumn("_all", F.lit(1))).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = attach_midranks(attach_midranks(src.select(*keys, x, y), keys, x, "_rx"), keys, y, "_ry")
-    s = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
-    # No spread in one of the ranks gives NaN, which counts as missing.
-    s = s.withColumn("rho", F.when((F.col("n") >= min_n) & ~F.isnan("rho"), F.col("rho")))
+    cells = src.groupBy(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count("*").alias("_w"))
+
+    def ranks(value: str) -> DataFrame:
+        """Average ranks less their mean."""
+        return ranked_values(cells, keys, value, weight="_w").select(*keys, F.col("v").alias(value), (F.col("midrank") - (F.col("total") + 1) / 2).alias(f"{value}r"))
+
+    w, a, b = F.col("_w"), F.col("_xr"), F.col("_yr")
+    ranked = cells.join(ranks("_x"), [*keys, "_x"]).join(ranks("_y"), [*keys, "_y"])
+    s = ranked.groupBy(*keys).agg(F.sum(w).alias("n"), F.sum(w * a * b).alias("_ab"), F.sum(w * a * a).alias("_aa"), F.sum(w * b * b).alias("_bb"))
+    s = s.withColumn("rho", F.try_divide(F.col("_ab"), F.sqrt(F.col("_aa") * F.col("_bb"))))
+    # No spread in one of the ranks gives no correlation.
+    s = s.withColumn("rho", F.when(F.col("n") >= min_n, F.col("rho")))
     t = F.col("rho") * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), 1 - F.col("rho") * F.col("rho")))
     s = s.withColumn("t_stat", t).withColumn("p_value", student_p(F.col("t_stat"), (F.col("n") - 2).cast("double")))
     return s.select(*by, "n", "rho", "t_stat", "p_value")

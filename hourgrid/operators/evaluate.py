@@ -65,7 +65,7 @@ def profile_predict(train: DataFrame, rows: DataFrame, y: str, by: Sequence[str]
     out = rows
     for on, level, name in levels:
         side = tables.where(F.col("level") == level).select(*on, F.col("pred").alias(f"_p{level}"))
-        out = out.join(side, on, "left")
+        out = out.join(F.broadcast(side) if level == 3 else side, on, "left")  # the coarsest level has a row for each fold
     stage = None
     for _, level, name in levels:
         cond = F.col(f"_p{level}").isNotNull()

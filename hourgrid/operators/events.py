@@ -212,11 +212,22 @@ def cross_source_duplicates(rows: DataFrame, baseline: DataFrame, min_ratio: flo
     for c in contained[1:]:
         exact = exact.unionByName(c)
     exact = exact.distinct().withColumn("exact_match", F.lit(True))
-    ta = pa.select("date", "plain", "words", F.explode("words").alias("w"))
-    tb = pb.select("date", "other", "other_words", F.explode("other_words").alias("w"))
-    pairs = ta.join(tb, ["date", "w"]).where(
-        (F.least(F.length("plain"), F.length("other")) >= min_ratio * F.greatest(F.length("plain"), F.length("other")))
-    ).select("date", "plain", "words", "other", "other_words").distinct()
+    # The smaller of two token lists shares at least a part of its tokens, so one of its rarest ones is among the shared:
+    # only those are joined, and a frequent token meets nothing unless a name has no rarer one.
+    every = pa.select(F.explode("words").alias("w")).unionByName(pb.select(F.explode("other_words").alias("w")))
+    often = every.groupBy("w").agg(F.count("*").alias("often"))
+
+    def rarest(names: DataFrame, words: str) -> DataFrame:
+        long = names.withColumn("w", F.explode(words)).join(often, "w")
+        sets = long.groupBy(*names.columns).agg(F.array_sort(F.collect_list(F.struct("often", "w"))).alias("_s"))  # the tokens of one name
+        spare = F.size("_s") - F.ceil(F.size("_s") * F.lit(min_overlap) - 1e-9).cast("int") + 1
+        return sets.select(*names.columns, F.explode(F.slice("_s", F.lit(1), F.greatest(F.least(spare, F.size("_s")), F.lit(1))).getField("w")).alias("w"))
+
+    near_length = F.least(F.length("plain"), F.length("other")) >= min_ratio * F.greatest(F.length("plain"), F.length("other"))
+    named_b = pb.select("date", "other", "other_words")
+    by_a = rarest(pa, "words").join(named_b.withColumn("w", F.explode("other_words")), ["date", "w"]).where(F.size("words") <= F.size("other_words"))
+    by_b = rarest(named_b, "other_words").join(pa.withColumn("w", F.explode("words")), ["date", "w"]).where(F.size("words") > F.size("other_words"))
+    pairs = by_a.where(near_length).select("date", "plain", "words", "other", "other_words").unionByName(by_b.where(near_length).select("date", "plain", "words", "other", "other_words")).distinct()
     close = (edit_ratio(F.col("plain"), F.col("other")) >= min_ratio) & (overlap(F.col("words"), F.col("other_words")) >= min_overlap)
     similar = pairs.where(close).select("date", "plain").distinct().withColumn("similar_match", F.lit(True))
     marks = a.select("date", "name", "plain").join(fam, ["date", "name"], "left").join(exact, ["date", "plain"], "left").join(similar, ["date", "plain"], "left")

@@ -30,13 +30,13 @@ def split_rows(t):
 def built(t, lags: bool = True):
     """All blocks, parameters from the train split."""
     df = split_rows(t)
-    return FE.build(df, FE.fit(df.where("split = 'train'")), LEVELS, lags=lags)
+    return FE.build(df, FE.fit(df.where("split = 'train'"), levels=LEVELS), LEVELS, lags=lags)
 
 
 def fold_table(t, lags: bool = True):
     """All blocks per fold, parameters from each fold's train rows."""
     df = fold_rows(rows(t), t.folds)
-    return FE.build(df, FE.fit(df.where("role = 'train'"), ["fold"]), LEVELS, ["fold"], lags)
+    return FE.build(df, FE.fit(df.where("role = 'train'"), ["fold"], levels=LEVELS), LEVELS, ["fold"], lags)
 
 
 _TIME = """tb AS (SELECT *, CASE WHEN is_event_day = 1 THEN 'event_day' WHEN is_national_holiday + is_other_holiday > 0 THEN 'holiday' WHEN is_school_vacation = 1 THEN 'school_vacation' WHEN dow >= 5 THEN 'weekend_regular' ELSE 'weekday_regular' END AS dc FROM hg_mad)"""
@@ -62,7 +62,7 @@ _PAR = f"par AS ({_PARAMS.format(by='')} FROM (SELECT * REPLACE (CAST(capacity A
   max(CAST(coalesce(b = 'medium', false) AS INT)) AS s_capacity_bucket__medium, max(CAST(entity = 'view' AS INT)) AS s_parking_id__view, count(*) AS n FROM x GROUP BY 1""")
 def fe2(t):
     df = split_rows(t)
-    out = FE.space_block(FE.with_params(df, FE.fit(df.where("split = 'train'"))), LEVELS)
+    out = FE.space_block(FE.with_params(df, FE.fit(df.where("split = 'train'"), levels=LEVELS)), LEVELS)
     cols = ["s_tier_is_centrum", "s_tier_is_rand", "s_log_total_capacity", "s_capacity_bucket", "s_capacity_bucket__medium", "s_parking_id__view"]
     return out.groupBy("entity").agg(*[F.max(c).alias(c) for c in cols], F.count("*").alias("n"))
 
@@ -70,7 +70,7 @@ def fe2(t):
 @query("fe3_fit_params_by_fold", "fold:s c0:f c1:f c2:f c3:f precip_q50:f precip_q90:f wind_q90:f gust_q90:f concurrency_cap:i n_levels:i", f"""
   {_PARAMS.format(by='fold,')}, count(DISTINCT entity) AS n_levels FROM (SELECT * REPLACE (CAST(capacity AS DOUBLE) AS capacity, CAST(n_concurrent_events AS DOUBLE) AS n_concurrent_events) FROM hg_mad), hg_folds WHERE hour < train_end_before GROUP BY fold""")
 def fe3(t):
-    p = FE.fit(fold_rows(rows(t), t.folds).where("role = 'train'"), ["fold"])
+    p = FE.fit(fold_rows(rows(t), t.folds).where("role = 'train'"), ["fold"], levels=LEVELS)
     return p.select("*", *[F.get("capacity_edges", F.lit(i)).alias(f"c{i}") for i in range(4)], F.size("entity_levels").alias("n_levels"))
 
 
@@ -81,7 +81,7 @@ def fe3(t):
   least(n_concurrent_events, concurrency_cap) AS e_n_concurrent_events_capped, CAST(kickoff_hour IS NOT NULL AS INT) AS e_has_football_kickoff, sin(2 * pi() * coalesce(kickoff_hour, 0) / 24) AS e_football_kickoff_hour_sin FROM x""")
 def fe4(t):
     df = split_rows(t)
-    return FE.external_block(FE.with_params(df, FE.fit(df.where("split = 'train'"))))
+    return FE.external_block(FE.with_params(df, FE.fit(df.where("split = 'train'"), levels=LEVELS)))
 
 
 @query("fe5_interactions", "entity:s e_int_event_x_tier_centrum:i e_int_holiday_x_tier_centrum:i e_int_vacation_x_tier_centrum:i e_int_temp_x_season__winter:f4 e_int_wind_x_season__summer:f4", """
@@ -89,7 +89,7 @@ def fe4(t):
   sum(temp) AS e_int_temp_x_season__winter, 0 AS e_int_wind_x_season__summer FROM (SELECT *, CAST(coalesce(grp = 'centrum', false) AS INT) AS c FROM hg_mad) GROUP BY 1""")
 def fe5(t):
     df = split_rows(t)
-    x = FE.with_params(df, FE.fit(df.where("split = 'train'")))
+    x = FE.with_params(df, FE.fit(df.where("split = 'train'"), levels=LEVELS))
     x = FE.interaction_block(FE.external_block(FE.space_block(FE.time_block(x), LEVELS)))
     cols = ["e_int_event_x_tier_centrum", "e_int_holiday_x_tier_centrum", "e_int_vacation_x_tier_centrum", "e_int_temp_x_season__winter", "e_int_wind_x_season__summer"]
     return x.groupBy("entity").agg(*[F.sum(c).alias(c) for c in cols])

@@ -89,7 +89,7 @@ def ml12(t):
   greatest(CAST(floor(quantile_cont(CAST(n_concurrent_events AS DOUBLE), 0.95) FILTER (WHERE tr)) AS INT), 1) AS concurrency_cap FROM f GROUP BY 1""")
 def ml3(t):
     x = fold_rows(rows(t), t.folds)
-    p = FE.fit(x.where("role = 'train'"), ["fold"])
+    p = FE.fit(x.where("role = 'train'"), ["fold"], levels=LEVELS)
     n = x.groupBy("fold").agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "valid").alias("n_valid"))
     return n.join(p, "fold").select("fold", "n_train", "n_valid", F.size("entity_levels").alias("n_levels"), "concurrency_cap")
 

@@ -162,3 +162,32 @@ def test_slices_never_decrease(spark):
     df = spark.createDataFrame([(float(v),) for v in edges + [0.0]], "v double")
     rows = QT.value_counts(df, [], "v").orderBy("v").collect()
     assert all(a.slice <= b.slice for a, b in zip(rows, rows[1:]))
+
+
+def test_relevance_drop_reasons(spark):
+    rows = [
+        (1, "Sport", "Kraan bij concert", "irrelevant"), (2, "Speelstraat", "Zomerstraat", "low_impact"), (3, "Speelstraat", "Optocht", None), (4, "Andere", "Vergadering", "unnamed"),
+        (5, "Andere", "KV  Mechelen thuis", None), (6, "Markt", "Zonder woord", None), (7, None, None, None), (8, "Andere", "inname  openbaar domein voor kermis", "irrelevant"), (9, "andere, feest/kermis", "x", None),
+    ]
+    df = spark.createDataFrame(rows, "id int, kind string, text string, want string").withColumn("got", E.drop_reason(F.col("kind"), F.col("text")))
+    assert all(r.got == r.want for r in df.collect())
+
+
+def test_variants_select_from_the_registry():
+    reg = FE.catalogue(["a", "b"])
+    names = {(t, v): FE.inputs_of(t, v, reg, {"e_event_window_pre_24h"}) for t, vs in FE.VARIANTS.items() for v in vs}
+    blocks = {f.name: f.block for f in reg}
+    assert names["policy", "P0"] == [] and {blocks[n] for n in names["policy", "P1"]} == {"T", "S"}
+    assert set(names["policy", "P3"]) - set(names["policy", "P2"]) == {"s_parking_id__a", "s_parking_id__b"}
+    assert set(names["policy", "P3"]) - set(names["policy", "P4"]) == {"e_event_window_pre_24h"}
+    assert names["forecast", "F1"] == names["policy", "P3"] and names["forecast", "F2"] == names["forecast", "F3"]
+    assert set(names["forecast", "F4"]) - set(names["forecast", "F3"]) == set(FE.ROLL_INPUTS)
+    with pytest.raises(ValueError):
+        FE.inputs_of("policy", "F1", reg)
+
+
+def test_hours_of_clock_change_days(spark):
+    from hourgrid.operators import quality as Q
+
+    df = spark.createDataFrame([("2024-03-31", 23), ("2024-10-27", 25), ("2024-10-28", 24), (None, None)], "d string, want int").withColumn("got", Q.hours_of_day(F.to_date("d"), "Europe/Brussels"))
+    assert all(r.got == r.want for r in df.collect())

@@ -26,9 +26,9 @@ FRACTION = 0.6
 # Topics by what a text holds, the first that fits; patterns mean the same to Spark and to SQL engines.
 TOPICS = (
     ("legal", r"(?i)licen[sc]e|copyright|all rights reserved"),
-    ("contact", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z]|[0-9]{3}[ -][0-9]{3,4}"),
+    ("contact", r"[A-Za-z0-9._-]@[A-Za-z0-9-]+[.][A-Za-z]|[0-9]{3}[ -][0-9]{3,4}"),
     ("tabular", r" [|] "),
-    ("technical", r"[A-Za-z0-9_]{24,}|[{}<>=;]{2}"),
+    ("technical", r"[A-Za-z0-9_]{24}|[{}<>=;]{2}"),
 )
 GENERAL = "general"
 
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, fraction: float = FRACTION, rounds: int = ROUNDS, power
 
     Rows with one id, repeated or null, are drawn alike. An empty table gives no rows.
     """
-    rows = described(docs)
+    rows = staged(described(docs))  # texts are read once
     return rows.join(calibrated(rows, fraction, rounds, power), list(DIMENSIONS)).withColumn("chosen", draw() < F.col("rate"))
 
 

@@ -83,7 +83,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_rake_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(table(spark, sf_dir, "documents"))
+    found = mixing.mix(table(spark, sf_dir, "documents"), bounded=False)  # as its SQL counterpart defines the rates
     return found.select("doc_id", "source", "lang", "topic", "tokens", F.round("rate", 6).alias("rate"), "chosen")
 
 

@@ -166,6 +166,22 @@ def test_mix_cases(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.sample(docs.limit(0)).count() == 0
 
 
+def test_mix_reaches_its_part_beside_a_tiny_source(spark):
+    docs = spark.read.parquet(f"{DOCS}/documents.parquet").select("doc_id", "text", "lang", "source")
+    tiny = spark.createDataFrame([(10**6, "word " * 200, "xx", "tiny")], docs.schema)
+    rows = mixing.described(docs.unionByName(tiny)).cache()
+    rates = mixing.calibrated(rows, 0.6, 6, 0.75)
+    out = rows.join(rates, list(mixing.DIMENSIONS)).toPandas()
+    assert len(out) == 201 and out["rate"].between(0, 1).all()
+    drawn, whole = out["rate"] * out["tokens"], out["tokens"].sum()
+    assert abs(drawn.sum() / whole - 0.6) < 1e-6
+    assert out.set_index("source")["rate"]["tiny"] > 0.5
+    # Within the bounds the solution is a product of a factor for each value, and the targets of the last dimension hold.
+    got, share = drawn.groupby(out["topic"]).sum() / drawn.sum(), out.groupby("topic")["tokens"].sum() / whole
+    want = share**0.75 / (share**0.75).sum()
+    assert np.allclose(got, want, atol=1e-6) or (want > share / 0.6).any()
+
+
 # --- lines of sites
 
 

@@ -15,14 +15,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import batch, text_or_empty
+from hourgrid.llm.common import batch, text_or_empty, unique_name
 from hourgrid.session import staged
 
-#: Buckets of trigrams, labelled rows of each language in the sample, and languages at most.
-BUCKETS, SAMPLE_ROWS, LANGUAGES = 1 << 16, 1000, 64
+#: Buckets of trigrams, labelled rows of each language in the sample, and the fewest rows that make a model of a label.
+BUCKETS, SAMPLE_ROWS, LEAST_ROWS = 1 << 16, 1000, 5
+#: With more languages than this the model holds only the trigrams that a language has, and sums run over (value, class).
+DENSE = 64
 NONE = "und"
 #: Trigrams overlap, so their log-likelihoods count for a third. Strength of the smoothing, in rows.
 WEIGHT, STRENGTH = 1 / 3, 20.0
@@ -38,8 +41,14 @@ CLASSES = bytes(b - 64 if 65 <= b <= 90 else b - 96 if 97 <= b <= 122 else 27 +
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    #: BUCKETS rows of log-probabilities, a column for each language and the last one for none.
-    table: np.ndarray
+    #: BUCKETS rows of log-probabilities, a column for each language and the last one for none; None if there are many.
+    table: np.ndarray | None
+    #: Otherwise: the log-probability of a trigram that a class has not met, and by bucket where its entries begin, their
+    #: classes and by how much these have it more likely.
+    unmet: np.ndarray | None = None
+    begins: np.ndarray | None = None
+    holders: np.ndarray | None = None
+    gains: np.ndarray | None = None
 
     @property
     def classes(self) -> tuple[str, ...]:
@@ -68,25 +77,30 @@ def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(schema, lang=[lang] * len(at), bucket=at.astype(np.int32), n=n[at])
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, languages: int = LANGUAGES) -> Model | None:
-    """Trigram model from about ``sample_rows`` rows of each of the most frequent languages, drawn by a hash of the key.
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, least_rows: int = LEAST_ROWS) -> Model | None:
+    """Trigram model from about ``sample_rows`` rows of each language with ``least_rows`` rows, drawn by a hash of the key.
 
     Labels are two or three letters, in any case, with or without a region; rows without one take no part. None if no
-    row has one. The counts that come to the driver are BUCKETS for each language at most.
+    label has enough rows. The counts that come to the driver are the trigrams of the sample of each language.
     """
     label = F.lower(F.regexp_extract(F.coalesce(F.col(lang).cast("string"), F.lit("")), r"^\s*([A-Za-z]{2,3})(?:[-_].*)?$", 1))
     rows = labelled.select(F.col(key).cast("string").alias("key"), label.alias("lang"), text_or_empty(text).cast("binary").alias("text")).where(F.col("lang") != "")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    if not sizes:
+    # Two or three letters make some 18,000 labels at most, so this table is broadcast.
+    sizes = staged(rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows))
+    names = tuple(sorted(r["lang"] for r in sizes.collect()))
+    if not names:
         return None
     part = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_rows / r["n"]))])
-    counts = rows.where(part < F.coalesce(shares[F.col("lang")], F.lit(0.0))).select("lang", "text").mapInArrow(counting, "lang string, bucket int, n long")
+    drawn = rows.join(F.broadcast(sizes), "lang").where(part < F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.col("n")))
+    counts = drawn.select("lang", "text").mapInArrow(counting, "lang string, bucket int, n long")
     found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    names = tuple(sorted(r["lang"] for r in sizes))
+    place = pa.array(names)
+    column = pc.index_in(found.column("lang"), value_set=place).to_numpy()
+    bucket, n = np.asarray(found.column("bucket")), np.asarray(found.column("n"))
+    if len(names) > DENSE:
+        return sparse(names, bucket, column, n)
     table = np.full((BUCKETS, len(names) + 1), 0.5)
-    place = {n: i for i, n in enumerate(names)}
-    table[np.asarray(found.column("bucket")), [place[x] for x in found.column("lang").to_pylist()]] += np.asarray(found.column("n"))
+    table[bucket, column] += n
     table[0] = 0
     table[:, -1] = 1
     table = np.log(np.maximum(table, 1e-300) / table.sum(axis=0))
@@ -94,8 +108,35 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     return Model(names, (table * WEIGHT).astype(np.float32))
 
 
+def sparse(names: tuple[str, ...], bucket: np.ndarray, column: np.ndarray, n: np.ndarray) -> Model:
+    """The model of many languages: the same log-probabilities, stored for the trigrams that a language has."""
+    some = bucket != 0
+    bucket, column, n = bucket[some], column[some], n[some]
+    order = np.argsort(bucket, kind="stable")
+    sums_of = np.bincount(column, weights=n, minlength=len(names)) + 0.5 * BUCKETS
+    unmet = np.append(np.log(0.5 / sums_of), -np.log(BUCKETS)) * WEIGHT
+    begins = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    return Model(names, None, unmet, begins, column[order].astype(np.int32), (np.log1p(2.0 * n[order]) * WEIGHT).astype(np.float32))
+
+
+def score_sparse(model: Model, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    n = len(model.classes)
+    out, known = np.zeros((len(texts), n)), np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        times = np.bincount(trigrams(text), minlength=BUCKETS)
+        times[0] = 0
+        met = np.flatnonzero(times)
+        known[i] = times.sum()
+        lengths = model.begins[met + 1] - model.begins[met]
+        at = np.repeat(model.begins[met] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        out[i] = known[i] * model.unmet + np.bincount(model.holders[at], weights=np.repeat(times[met], lengths) * model.gains[at], minlength=n)
+    return out, known
+
+
 def score(model: Model, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Weighted log-likelihoods (texts by classes), and the trigrams with a letter of each text."""
+    if model.table is None:
+        return score_sparse(model, texts)
     out = np.zeros((len(texts), len(model.classes)))
     known = np.zeros(len(texts), np.int64)
     at = 0
@@ -134,13 +175,22 @@ def total(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, and not again for each element of an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def softmax(logs: Column) -> Column:
-    raised = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(raised, lambda x: x / total(raised))
+    over = lambda raised: bound(total(raised), lambda s: F.transform(raised, lambda x: x / s))
+    return bound(logs, lambda l: bound(F.array_max(l), lambda m: bound(F.transform(l, lambda x: F.exp(x - m)), over)))
 
 
 def sums(rows: DataFrame, by: Sequence[str], n: int) -> DataFrame:
     """Summed posteriors by some columns, and the rows behind them."""
+    if n > DENSE + 1:
+        each = rows.select(*by, F.posexplode("posterior").alias("at", "vote")).groupBy(*by, "at").agg(F.sum("vote").alias("vote"), F.count("*").alias("rows"))
+        per = each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "vote"))).alias("votes"), F.max("rows").alias("rows"))
+        return per.select(*by, F.transform("votes", lambda x: x["vote"]).alias("sums"), "rows")
     per = rows.groupBy(*by).agg(*[F.sum(F.col("posterior")[i]).alias(f"s{i}") for i in range(n)], F.count("*").alias("rows"))
     return per.select(*by, F.array(*[f"s{i}" for i in range(n)]).alias("sums"), "rows")
 
@@ -149,14 +199,16 @@ def identify(rows: DataFrame, model: Model, extra: Sequence[str] = ()) -> DataFr
     """Language of rows (text, declared, suffix, host, domain): those but the text, ``extra``, and language, probability,
     text_language, known (trigrams with a letter).
 
-    Null evidence says nothing, a null host is the host ''. A text without a letter has no language (``und``). Repeated
+    A declared language that the model does not have is kept where no fitted one explains the text better than none does
+    (the probability is then that of none). Null evidence says nothing, a null host is the host ''. A text without a letter has no language (``und``). Repeated
     rows are rows of their own; an empty table gives no rows.
     """
     n = len(model.classes)
     names = F.array(*[F.lit(x) for x in model.classes])
     code = F.lower(F.regexp_extract(F.coalesce("declared", F.lit("")), r"^\s*([A-Za-z]{2,3})(?:[-_].*)?$", 1))
     known = F.when(code.isin(*model.languages), code).otherwise(F.when(code == "", "").otherwise("other"))
-    evidence = rows.select(*extra, known.alias("declared"), *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("suffix", "host", "domain")], text_or_empty().cast("binary").alias("text"))
+    label = unique_name(rows, "_label")
+    evidence = rows.select(*extra, known.alias("declared"), F.when(known == "other", code).otherwise("").alias(label), *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("suffix", "host", "domain")], text_or_empty().cast("binary").alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in evidence.schema if f.name != "text")
     scored = evidence.mapInArrow(scoring(model), f"{kinds}, logs array<double>, known long")
     # Before anything is counted, languages are alike but for the class of none.
@@ -167,12 +219,11 @@ def identify(rows: DataFrame, model: Model, extra: Sequence[str] = ()) -> DataFr
     scored = staged(scored.withColumn("posterior", votes))
 
     whole = sums(scored, [], n).first()  # one row
-    counted = [x or 0.0 for x in whole["sums"]]
+    counted = [x or 0.0 for x in whole["sums"]] or [0.0] * n
     overall = [(c + STRENGTH * math.exp(p)) / (sum(counted) + STRENGTH) for c, p in zip(counted, start, strict=True)]
 
     def smoothed(votes: Column, towards: Column) -> Column:
-        of_all = total(votes)
-        return F.zip_with(votes, towards, lambda a, b: (a + F.lit(STRENGTH) * b) / (of_all + F.lit(STRENGTH)))
+        return bound(total(votes), lambda of_all: F.zip_with(votes, towards, lambda a, b: (a + F.lit(STRENGTH) * b) / (of_all + F.lit(STRENGTH))))
 
     base = F.array(*[F.lit(x) for x in overall])
     domains = sums(scored, ["domain"], n).select("domain", smoothed(F.col("sums"), base).alias("domain_share"))
@@ -195,9 +246,11 @@ def identify(rows: DataFrame, model: Model, extra: Sequence[str] = ()) -> DataFr
     out = met.withColumn("fused", softmax(fused))
     place = lambda a: F.element_at(names, F.array_position(a, F.array_max(a)).cast("int"))
     none = F.col("known") == 0
+    best = place(F.col("fused"))
+    best = F.when((best == NONE) & (F.col(label) != ""), F.col(label)).otherwise(best)
     return out.select(
         *extra, "declared", "suffix", "host", "domain", "known",
-        F.when(none, NONE).otherwise(place(F.col("fused"))).alias("language"),
+        F.when(none, NONE).otherwise(best).alias("language"),
         F.when(none, 1.0).otherwise(F.array_max("fused")).alias("probability"),
         F.when(none, NONE).otherwise(place(F.col("logs"))).alias("text_language"),
     )

@@ -233,6 +233,27 @@ def test_every_page_has_a_language(spark):
     assert out.count() == 250 and wrong <= 5
 
 
+def test_more_than_64_labels_are_fitted_and_a_label_without_a_model_is_kept(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    labels = [a + b for a in "abcdefgh" for b in "jklmnopqr"]  # 72, each with words of its own, the last in a script of its own
+    words = {l: ["".join(rng.choice(list("aeioulnrstkm"), 6)) for _ in range(40)] for l in labels} | {labels[-1]: ["".join(chr(0x10A0 + int(c)) for c in rng.integers(0, 40, 6)) for _ in range(40)]}
+    text = lambda l: " ".join(rng.choice(words[l], 60))
+    docs = [(i * 100 + k, text(l), l, f"s{k % 3}") for i, l in enumerate(labels) for k in range(12 if i < 64 else 6)]
+    own = "".join(chr(c) for c in range(0x0E01, 0x0E2E))
+    docs += [(10**6, " ".join(own[i : i + 6] for i in range(0, 40, 3)) * 5, "th", "s1"), (10**6 + 1, "123 !", "th", "s1")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    model = language.fit(df)
+    assert model.languages == tuple(sorted(labels)) and model.table is None
+    stays = {r.doc_id for r in dict(corpus_pipeline.STAGES)["language"](spark, df, DOCS).collect()}
+    assert stays == {d[0] for d in docs} - {10**6 + 1}
+    rows = spark.createDataFrame([(l, text(l), None, None, None, None) for l in labels], "want string, text string, declared string, suffix string, host string, domain string")
+    assert language.identify(rows, model, ["want"]).where("language <> want").count() == 0
+    monkeypatch.setattr(language, "DENSE", 100)
+    texts = [d[1].encode() for d in docs[::50]] + [b"", b"123"]
+    for a, b in zip(language.score(model, texts), language.score(language.fit(df), texts), strict=True):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-2)
+
+
 # --- pipeline
 
 

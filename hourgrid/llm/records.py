@@ -8,7 +8,7 @@ and a body is ``width`` (1 byte: bytes of an id, 2 or 4), a flag for a null key
 the ids. All numbers are little-endian. The mask turns a checksum round by 15 bits and adds a constant, so that a
 checksum of bytes that hold checksums stays sound. Readers go by lengths; the line feed is only Spark's row end.
 
-Files are in ascending order of keys, within and across files (by name). They are written by Spark's own text sink: its
+Files are in ascending order of keys, within and across files (by the number in their names). They are written by Spark's own text sink: its
 commit protocol leaves out what lost or repeated tasks wrote, on any store that Spark reaches. Files are read whole, one
 at a time, so their size is a parameter.
 """
@@ -128,10 +128,11 @@ def write_index(spark: SparkSession, folder: str, index: str) -> DataFrame:
 def with_start(index: DataFrame) -> DataFrame:
     """Adds ``start``: the ids of all records before a record, over all files in order.
 
-    Only one total for each file is put in order.
+    Only one total for each file is put in order: that of the numbers in their names, which are longer from 100,000 files on.
     """
     totals = index.groupBy("file").agg(F.sum("n_tokens").alias("_ids"))
-    before = totals.select("file", F.coalesce(F.sum("_ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    number = F.regexp_extract("file", r"^part-([0-9]+)", 1).cast("long")
+    before = totals.select("file", F.coalesce(F.sum("_ids").over(Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return index.join(before, "file").withColumn("start", F.col("_before") + F.col("local_start")).drop("_before")
 
 

@@ -14,7 +14,7 @@ from hourgrid.llm import packing, records, registered
 from hourgrid.llm.tokens import WordEncoder, public_path
 
 DOCS = "/root/testdata/sf0.001"
-ODD = ["", " ", "\n", "a", " a", "a ", "a  b", "a\n\nb", "a\tb", "it's  don't\n we'll", "<|endoftext|>", "x<", "<| a", "naïve 日本語 é́ \u00a0 b", "A\u2003B\r\nc", "1 22 333\n4", "\x1f", "ß ΑΣ ΟΔΟΣ ", "e\u0301 \u0301x", "a" * 3000, "word. " * 999]
+ODD = ["", " ", "\n", "a", " a", "a ", "a  b", "a\n\nb", "a\tb", "it's  don't\n we'll", "<|endoftext|>", "x<", "<| a", "naïve 日本語 é́ \u00a0 b", "A\u2003B\r\nc", "1 22 333\n4", "\x1f", "ß ΑΣ ΟΔΟΣ ", "e\u0301 \u0301x", "a" * 3000, "word. " * 999, "İstanbul ŸŉÅ Ж́ж ОДИН 한글 각 かな か\u3099 中文 é ẞ ﬁ", "İ i̇ Ⱥ ⱥ x\u0301y\u0301 Ω\u2126"]
 
 
 @functools.cache
@@ -75,6 +75,13 @@ def test_a_changed_byte_is_found(spark, tmp_path):
             records.unframe(memoryview(frame[:end]), 0)
 
 
+def test_files_are_in_the_order_of_their_numbers(spark):
+    names = [f"part-{n:05d}-q-c000.txt" for n in (0, 9, 99998, 99999, 100000, 1000001)]
+    index = spark.createDataFrame([(0, 1, n, 0, 10**i, 0, name) for n, (i, name) in enumerate(enumerate(names))], records.INDEX_SQL)
+    found = {r.doc_id: r.start for r in records.with_start(index).collect()}
+    assert found == {n: sum(10**i for i in range(n)) for n in range(len(names))}
+
+
 def test_empty_tables(spark, tmp_path):
     empty = frame_of(spark, [])
     records.write_records(empty, str(tmp_path / "r"), "byte_bpe_50k.json", 2)

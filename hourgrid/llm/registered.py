@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm import exact_dedup, language, licenses, lines, mixing, packing, records, sharding, simhash, topk
+from hourgrid.llm import exact_dedup, filter_audit, language, licenses, lines, mixing, packing, records, sharding, simhash, topk
 from hourgrid.llm.common import table
 from hourgrid.session import stage_path
 
@@ -110,3 +110,12 @@ def op2_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pages.select("page_id", F.array_join(lines.lines_of_html(), "\n").alias("text"), declared.alias("declared"), F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"), host.alias("host"), F.regexp_extract(host, r"([^.]+[.][^.]+)$", 1).alias("domain"))
     found = language.identify(rows, model, ["page_id"])
     return found.select("page_id", "host", "declared", "suffix", "language", "probability", "text_language", (~language.rejected()).alias("accepted"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = filter_audit.failed(table(spark, sf_dir, "documents"))
+    return filter_audit.audit(filter_audit.labelled(marked, table(spark, sf_dir, "labels")))
+
+
+ORACLE["op12_filter_audit"] = filter_audit.ORACLE

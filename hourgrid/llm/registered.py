@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm import divergence, exact_dedup, filter_audit, language, licenses, lines, mixing, packing, records, sharding, simhash, topk
+from hourgrid.llm import alignment, divergence, exact_dedup, filter_audit, language, licenses, lines, mixing, packing, records, sharding, simhash, topk
 from hourgrid.llm.common import table
 from hourgrid.session import stage_path
 
@@ -127,3 +127,8 @@ def op13_language_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = divergence.judge(docs, divergence.references(docs))
     distances = [F.round(c, 6).alias(c) for c in ("character_distance", "word_distance")]
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *distances)
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))[0]

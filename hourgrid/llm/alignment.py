@@ -156,7 +156,7 @@ def run_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def links(ids_a, group_a, ids_b, group_b, doc_of_group, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, pair, times) of the different pairs of ids linked in each document, ordered."""
+    """(doc, pair, times) of the different pairs of ids linked in each document, document by document."""
     left, right = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
     large = left * right > LARGE_GROUP
     small_a, small_b = ~large[group_a] if groups else group_a, ~large[group_b] if groups else group_b

@@ -11,6 +11,9 @@ compared byte for byte; rows whose bytes differ from those of the retained row a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +23,34 @@ from hourgrid.session import stage_path, staged
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # All stores of an executor share this much outside the heap; what does not fit is on disk.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
     # Many small stores would take megabytes each before anything is in them.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: Input of one round of the stream.
-ROUND_BYTES = 64 << 30
+#: Least input of one round of the stream; larger inputs are taken in about so many rounds.
+ROUND_BYTES, ROUNDS = 256 << 20, 8
+#: Files are taken in however much older they are than the newest one.
+NO_AGE = "36500d"
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings for a while; what the session had comes back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def bytes_of(spark: SparkSession, path: str) -> int:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
 
 
 def normalised(text: str = "text") -> Column:
@@ -50,18 +75,17 @@ def retained(arrivals: DataFrame, folder: str) -> DataFrame:
     and takes in what has arrived since.
     """
     spark = arrivals.sparkSession
-    for key, value in ROCKSDB.items():
-        spark.conf.set(key, value)
     # A null id is only retained where no row of the text has one.
     first = F.min(F.struct(F.col("id").isNull().alias("null_id"), "id", "file", "row"))
     state = arrivals.groupBy("digest").agg(first.alias("first"), F.count("*").alias("seen"))
-    state.writeStream.outputMode("update").format("noop").option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
+    with settings(spark, ROCKSDB):
+        state.writeStream.outputMode("update").format("noop").option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
     kept = spark.read.format("statestore").load(folder)
     fields = kept.schema["value"].dataType.names
     return kept.select(F.col("key.digest").alias("digest"), F.col("value")[fields[0]].alias("first"), F.col("value")[fields[1]].alias("seen"))
 
 
-def deduplicate(spark: SparkSession, source: str, id_col: str = "doc_id", text: str = "text", state_folder: str | None = None, round_bytes: int = ROUND_BYTES, digest_of: Column | None = None) -> DataFrame:
+def deduplicate(spark: SparkSession, source: str, id_col: str = "doc_id", text: str = "text", state_folder: str | None = None, round_bytes: int | None = None, digest_of: Column | None = None) -> DataFrame:
     """One row per row of the Parquet files in ``source``: id, keep_id, group_size, kept, digest, file, row.
 
     Of rows with equal normalised text the one with the smallest id stays; of repeated rows with one id the first by
@@ -71,7 +95,8 @@ def deduplicate(spark: SparkSession, source: str, id_col: str = "doc_id", text:
     schema = spark.read.parquet(source).schema
     source = source.rstrip("/")
     pattern = f"{source[:-1]}[{source[-1]}]"  # a stream takes a single file only by a pattern
-    arrivals = spark.readStream.schema(schema).option("maxBytesPerTrigger", round_bytes).parquet(pattern)
+    round_bytes = round_bytes or max(ROUND_BYTES, -(-bytes_of(spark, source) // ROUNDS))
+    arrivals = spark.readStream.schema(schema).option("maxBytesPerTrigger", round_bytes).option("maxFileAge", NO_AGE).parquet(pattern)
     state = retained(fingerprints(arrivals, id_col, text, digest_of), state_folder or stage_path(spark, "dedup-state"))
     content = spark.read.schema(schema).parquet(source)
     rows = staged(fingerprints(content, id_col, text, digest_of).join(state, "digest"))

@@ -1,4 +1,4 @@
-"""Regressors on feature tables: fit on train rows, predict any rows; cross-validation over a run plan."""
+"""Regressors on feature tables: fit on train rows, predict any rows."""
 
 from __future__ import annotations
 
@@ -12,12 +12,10 @@ from pyspark.errors import IllegalArgumentException, SparkRuntimeException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.operators.evaluate import error_metrics, persistence_predict, profile_predict
-from hourgrid.operators.features import Feature, filter_rows, inputs_of
-from hourgrid.operators.quantile import column_quantiles
+from hourgrid.operators.moments import group_medians
 
 # Model grid.
 GRID = {
@@ -29,8 +27,7 @@ GRID = {
 
 def medians(train: DataFrame, features: Sequence[str]) -> dict[str, float]:
     """Exact train medians; a column without values gives 0. One number per feature reaches the driver."""
-    rows = column_quantiles(train, [], features, {"m": 0.5}).collect()
-    found = {r["column"]: r["m"] for r in rows}
+    found = group_medians(train.withColumn("_all", F.lit("")), "_all", features).get("|none", {})
     return {f: float(found.get(f, 0.0)) for f in features}
 
 
@@ -87,21 +84,21 @@ def fit_ridge(train: DataFrame, features: Sequence[str], y: str, alpha: float =
     return Fitted("ridge", features, fill, predict, None, linear)
 
 
-def _fit_trees(estimator, key: str, train: DataFrame, features: Sequence[str], y: str) -> Fitted:
+def _fit_trees(estimator, key: str, train: DataFrame, features: Sequence[str], y: str, fill: dict[str, float] | None = None) -> Fitted:
     features = list(features)
-    fill = medians(train, features)
+    fill = medians(train, features) if fill is None else {f: fill.get(f, 0.0) for f in features}
     assemble = VectorAssembler(inputCols=features, outputCol="_features")
     model = estimator.setFeaturesCol("_features").setLabelCol(y).setPredictionCol("yhat").fit(assemble.transform(imputed(train.where(F.col(y).isNotNull()), fill)))
     return Fitted(key, features, fill, lambda df: model.transform(assemble.transform(df)).drop("_features"), model)
 
 
-def fit_forest(train: DataFrame, features: Sequence[str], y: str, seed: int = 42, **params) -> Fitted:
+def fit_forest(train: DataFrame, features: Sequence[str], y: str, seed: int = 42, fill: dict[str, float] | None = None, **params) -> Fitted:
     cfg = {**GRID["rf_90_d12_l2"], "featureSubsetStrategy": "all", "subsamplingRate": 1.0, "seed": seed, **params}
-    return _fit_trees(RandomForestRegressor(**cfg), "random_forest", train, features, y)
+    return _fit_trees(RandomForestRegressor(**cfg), "random_forest", train, features, y, fill)
 
 
-def fit_boosting(train: DataFrame, features: Sequence[str], y: str, seed: int = 42, **params) -> Fitted:
-    return _fit_trees(GBTRegressor(**{**GRID["xgb_80_d4_lr006"], "seed": seed, **params}), "xgboost", train, features, y)
+def fit_boosting(train: DataFrame, features: Sequence[str], y: str, seed: int = 42, fill: dict[str, float] | None = None, **params) -> Fitted:
+    return _fit_trees(GBTRegressor(**{**GRID["xgb_80_d4_lr006"], "seed": seed, **params}), "xgboost", train, features, y, fill)
 
 
 def fit_model(key: str, train: DataFrame, features: Sequence[str], y: str, seed: int = 42, **params) -> Fitted:
@@ -116,44 +113,6 @@ def fit_model(key: str, train: DataFrame, features: Sequence[str], y: str, seed:
 
 #: What a fit or its scoring raises on data it cannot use.
 FIT_ERRORS = (IllegalArgumentException, SparkRuntimeException, Py4JJavaError, np.linalg.LinAlgError)
-PLAN_KEYS = ("run_id", "track", "variant", "model_family", "model_key", "cv_mode")
-
-
-def predict_run(run: dict, train: DataFrame, valid: DataFrame, registered: Sequence[Feature], late: set[str], y: str, tree_params: dict | None = None) -> DataFrame:
-    """Validation rows of one run with yhat; baselines need no fit."""
-    train, valid = filter_rows(train, run["row_filter"]), filter_rows(valid, run["row_filter"])
-    if run["model_family"] == "baseline":
-        out = profile_predict(train, valid, y)
-        out = persistence_predict(out, "l_occ_lag_1h", "l_occ_lag_24h")
-        return out.withColumn("yhat", F.col("profile_pred" if run["model_key"] == "profile_baseline" else "persist_pred"))
-    features = inputs_of(run["track"], run["variant"], registered, late)
-    params = (tree_params or {}).get(run["model_key"], {})
-    return fit_model(run["model_key"], train, features, y, run["seed"], **params).transform(valid)
-
-
-def run_plan(plan: Sequence[dict], folds: Sequence[str], table: DataFrame, registered: Sequence[Feature], late: set[str], inner: Column, event: Column, y: str = "rate", tree_params: dict | None = None) -> DataFrame:
-    """Metrics per (run, fold). The loop is over plan rows; fits and scoring are Spark jobs on the shared fold table.
-
-    A cell whose fit or scoring fails becomes a row with its status instead of ending the sweep; other errors, such as a
-    missing column or an unknown model, do end it. Each cell comes back as its one row of metrics.
-    """
-    rows: list[dict] = []
-    schema = None
-    for run in plan:
-        for fold in folds:
-            part = table.where(F.col("fold") == fold)
-            train, valid = part.where("role = 'train'"), part.where("role = 'valid'")
-            try:
-                m = error_metrics(predict_run(run, train, valid, registered, late, y, tree_params), [], y, "yhat", inner, event)
-                found, status = m.first(), "ok"
-            except FIT_ERRORS as problem:
-                m = error_metrics(valid.withColumn("yhat", F.lit(None).cast("double")), [], y, "yhat", inner, event)
-                found, status = m.first(), f"error: {type(problem).__name__}"
-            schema = schema or m.schema
-            rows.append(found.asDict() | {k: run[k] for k in PLAN_KEYS} | {"fold_id": fold, "fit_status": status})
-    for key in (*PLAN_KEYS, "fold_id", "fit_status"):
-        schema = schema.add(key, "string")
-    return table.sparkSession.createDataFrame(rows, schema).withColumnRenamed("n", "n_valid")
 
 
 def tree_arrays(debug_text: str) -> list[dict]:

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from hourgrid.operators import evaluate as EV
 from hourgrid.operators import features as FE
+from hourgrid.operators import ledger as L
 from hourgrid.operators import models as M
 from hourgrid.operators import significance as ST
 from hourgrid.operators.panel import fold_rows
 from hourgrid.operators.windows import exact_lags
 from hourgrid.plans.features import FORECAST, LEVELS, POLICY, built, fold_table, rows
 from hourgrid.plans.registry import query
-from hourgrid.session import staged
+from hourgrid.session import stage_path, staged
 from hourgrid.sources.frames import FOLDS, HOLDOUT_FROM
 
 
@@ -126,12 +127,32 @@ def ml10(t):
     return EV.ablation_plan(t.spark).crossJoin(F.broadcast(n))
 
 
-@query("ml11_run_plan", "run_id:s fold_id:s n_valid:i mae:f4 rmse:f4 fit_status:s")
-def ml11(t):
-    table = staged(fold_table(t), ["fold", "role"])
-    plan = [r.asDict() for r in EV.ablation_plan(t.spark).where("cv_mode = 'fold_safe' AND run_id IN ('P0_profile_baseline', 'F0_persistence_baseline', 'P1_ridge_a1_0', 'F2_ridge_a1_0')").orderBy("run_id").collect()]
+def swept(t, models: tuple[str, ...] = ("baseline", "ridge"), folder: str | None = None, tree_params: dict | None = None):
+    """The ledger's cells of the ablation plan for some model families, in both modes and all folds."""
+    tables = {"fold_safe": staged(fold_table(t), ["fold", "role"]), "fixed_export": staged(fold_rows(built(t).where("split = 'train'").drop("split"), t.folds), ["fold", "role"])}
+    plan = [r.asDict() for r in EV.ablation_plan(t.spark).where(F.col("model_family").isin(*models)).orderBy("run_id", "cv_mode").collect()]
     inner, event = _segments()
-    return M.run_plan(plan, [f[0] for f in FOLDS], table, FE.catalogue(LEVELS), set(), inner, event)
+    kept = L.Ledger(t.spark, folder or stage_path(t.spark, "ledger"))
+    return L.sweep(plan, [f[0] for f in FOLDS], tables, FE.catalogue(LEVELS), set(), inner, event, kept, tree_params=tree_params)
+
+
+@query("ml11_run_plan", "run_id:s cv_mode:s fold_id:s n_train:i n_valid:i mae:f4 rmse:f4 mape:f3 mae_inner:f4 mae_event:f4 fit_status:s")
+def ml11(t):
+    return swept(t)
+
+
+def _ledger_summary(t):
+    return EV.cv_summary(swept(t), ["run_id", "track", "variant", "model_family", "cv_mode"])
+
+
+@query("ml13_ledger_reruns", "run_id:s variant:s row_filter:s feature_set_id:s")
+def ml13_ledger(t):
+    return EV.rerun_plan(_ledger_summary(t))
+
+
+@query("ml14_ledger_shortlist", "run_id:s variant:s mean_mae:f4 status:s selected_for_holdout:b is_primary:b f4_gain_pct:f3 f4_retention_pct:f3")
+def ml14_ledger(t):
+    return EV.shortlist(_ledger_summary(t))
 
 
 # Results of simple forecasts over weeks stand in for fitted runs in the selection rules.

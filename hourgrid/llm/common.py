@@ -13,12 +13,20 @@ from pyspark.sql import functions as F
 T = TypeVar("T")
 #: Folder names that plain reads must skip start with one of these.
 HIDDEN = ("_", ".")
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 6 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> SparkSession:
+    """Bounds the bytes of what goes to a Python worker at once, unless the session says so itself: texts differ in length."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(size))
+    return spark
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -28,10 +28,12 @@ NOTICES = {
     "gnu general public license": "gpl",
     "gnu lesser general public license": "lgpl",
     "gnu affero general public license": "agpl",
+    "apache license": "apache",
     "licensed under the apache license version 2 0": "apache",
     "creative commons attribution": "cc-by",
     "creative commons attribution sharealike": "cc-by-sa",
     "creative commons attribution noncommercial": "cc-by-nc",
+    "mit license": "mit",
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
@@ -41,8 +43,9 @@ NOTICES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "reserved",
 }
-#: Characters of a notice for one error that is let pass.
-CHARS_AN_ERROR = 12
+#: Characters of a notice for one error that is let pass; notices shorter than the second number stand between whole words
+#: and may have one error.
+CHARS_AN_ERROR, SHORT = 12, 16
 
 FOUND_SQL = "doc_id long, n_words long, matches array<struct<notice: string, label: string, exact_phrase: boolean, word: long, start: long, stop: long, errors: int, score: double>>"
 
@@ -62,9 +65,12 @@ class Scanner:
         import regex
 
         self.phrases, self.notices = phrases, notices
-        self.errors = {n: len(n) // chars_an_error for n in notices}
+        self.errors = {n: len(n) // chars_an_error if len(n) >= SHORT else 1 for n in notices}
         # The best match in a stretch is wanted, not the first one within the bound.
-        self.patterns = {n: regex.compile(f"(?b)(?:{regex.escape(n, literal_spaces=True)}){{e<={e}}}") for n, e in self.errors.items()}
+        self.patterns = {}
+        for n, e in self.errors.items():
+            near = f"(?:{regex.escape(n, literal_spaces=True)}){{e<={e}}}"
+            self.patterns[n] = regex.compile(f"(?b)(?<= ){near}(?= )" if len(n) < SHORT else f"(?b){near}")
         seeds: dict[str, list[tuple[str, int]]] = {}
         for n, e in self.errors.items():
             for at, part in parts(n, e):
@@ -105,6 +111,16 @@ class Scanner:
             found[notice] = joined
         return found
 
+    def matches(self, pattern, words: str, a: int, b: int) -> Iterator:
+        """All matches of a stretch, the best first: what stands before and behind a match is searched again."""
+        left = [(a, b)]
+        while left:
+            a, b = left.pop()
+            m = pattern.search(words, a, b) if a < b else None
+            if m is not None and m.end() > m.start():
+                yield m
+                left += [(a, m.start()), (m.end(), b)]
+
     def near_places(self, words: str) -> Iterator[tuple[str, int, int, int]]:
         for notice, spans in self.stretches(words).items():
             pattern, step = self.patterns[notice], len(notice) + 2 * self.errors[notice]
@@ -112,7 +128,7 @@ class Scanner:
                 # Long joined stretches are matched in overlapping pieces; a match counts where it starts first.
                 last = -1
                 for at in range(a, b, step):
-                    for m in pattern.finditer(words, at, min(b, at + 2 * step)):
+                    for m in sorted(self.matches(pattern, words, at, min(b, at + 2 * step)), key=lambda m: m.start()):
                         if m.start() > last and m.start() < at + step:
                             yield notice, m.start(), m.end(), sum(m.fuzzy_counts)
                             last = m.end() - 1

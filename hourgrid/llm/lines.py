@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from hourgrid.session import staged
 
-#: A line goes from a host's pages if more than this part of them has it, and at least so many pages.
-RATIO, LEAST_PAGES = 0.3, 3
+#: A line goes from a host's pages if more than this part of them has it, and at least so many pages: the only line of its
+#: kind on a host of one to three pages is no boilerplate.
+RATIO, LEAST_PAGES = 0.3, 2
 #: Elements whose content is no text, and elements that end a line.
 NO_TEXT = r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>"
 LINE_END = r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|td|table|nav|article|footer|header|title|head|body|section|html)(?: [^>]*)?/?>"

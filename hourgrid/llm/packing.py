@@ -152,21 +152,37 @@ def packed(tokenizer: str, end_id: int, window: int, piece: int, block: int, fin
     return pack
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, piece: int = PIECE, block: int = BLOCK, fine_every: int = FINE_EVERY, fine: int = FINE) -> DataFrame:
+def crc(ids: pa.Array, width: int = 2) -> pa.Array:
+    return pa.array([zlib.crc32(np.frombuffer(x.as_buffer(), f"<u{width}").astype("<u4").tobytes()) for x in ids], pa.int64())
+
+
+CHECKED_SQL = PIECES_SQL.replace("ids binary", "ids_crc32 long")
+CHECKED = pa.schema([pa.field("ids_crc32", pa.int64()) if f.name == "ids" else f for f in PIECES])
+
+
+def with_checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of packed pieces with the checksum in the place of the ids, see ``checksums``."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([crc(b.column(n)) if n == "ids" else b.column(n) for n in PIECES.names], schema=CHECKED)
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, piece: int = PIECE, block: int = BLOCK, fine_every: int = FINE_EVERY, fine: int = FINE, checked: bool = False) -> DataFrame:
     """Pieces of all documents with their ids (little-endian, 2 bytes each where the vocabulary allows) and their place.
 
     A null text counts as empty, so every row has at least the end id; repeated rows are packed one by one; a null
     ``doc_id`` is passed on. An empty table gives no rows. Sequences are numbered apart in every task, from 0 in the
-    first, with gaps between tasks; offsets in a sequence have no gaps.
+    first, with gaps between tasks; offsets in a sequence have no gaps. ``checked``: checksums of the ids instead of the
+    ids, made from them where they are, so that no ids are moved.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(packed(tokenizer, end_id, window, piece, block, fine_every, fine), PIECES_SQL)
+    pieces = packed(tokenizer, end_id, window, piece, block, fine_every, fine)
+    return rows.mapInArrow(lambda batches: with_checksums(pieces(batches)), CHECKED_SQL) if checked else rows.mapInArrow(pieces, PIECES_SQL)
 
 
 def checksums(ids_column: str = "ids", width: int = 2):
     """Unsigned crc32 of packed ids, each widened to 4 little-endian bytes."""
 
-    def crc(ids: pa.Array) -> pa.Array:
-        return pa.array([zlib.crc32(np.frombuffer(x.as_buffer(), f"<u{width}").astype("<u4").tobytes()) for x in ids], pa.int64())
+    def of(ids: pa.Array) -> pa.Array:
+        return crc(ids, width)
 
-    return F.arrow_udf(crc, "long")(ids_column)
+    return F.arrow_udf(of, "long")(ids_column)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourgrid.llm import alignment, divergence, exact_dedup, filter_audit, language, licenses, lines, mixing, packing, records, sharding, simhash, topk
-from hourgrid.llm.common import table
+from hourgrid.llm.common import bounded_batches, table
 from hourgrid.session import stage_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,7 +16,7 @@ ORACLE: dict[str, str] = {}
 
 
 def query(build):
-    QUERIES[build.__name__] = build
+    QUERIES[build.__name__] = lambda spark, sf_dir: build(bounded_batches(spark), sf_dir)
     return build
 
 
@@ -30,8 +30,7 @@ def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packing.pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 1)
-    return found.select("doc_id", "start", "length", packing.checksums().alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packing.pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 1, checked=True)
 
 
 @query

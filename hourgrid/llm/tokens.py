@@ -24,12 +24,12 @@ UNSAFE = "[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}
 #: Words whose bytes are as many in lower case and composed form as before: ASCII, composed Latin, Cyrillic, kana, Han and Hangul.
 PLAIN = "^[!-~\u00a1-\u012f\u0131-\u017e\u0400-\u0482\u048a-\u04ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3]+$"
 #: Words remembered by one worker.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
 #: Words encoded in one string.
 JOINED = 4000
 WORD_END = "</w>"
 #: Bytes of text split at once.
-AT_ONCE = 12 << 20
+AT_ONCE = 6 << 20
 
 
 def binary_array(data: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:

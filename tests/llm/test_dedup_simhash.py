@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import re
+import time
 
 import numpy as np
 import pytest
@@ -53,6 +55,19 @@ def test_state_goes_on_over_rounds_and_runs(spark, tmp_path):
     assert sorted(((r.id, r.keep_id, r.group_size, r.digest.hex()) for r in out), key=repr) == expected(ODD)
 
 
+def test_a_later_call_takes_in_files_that_are_older(spark, tmp_path):
+    path, state = tmp_path / "in", str(tmp_path / "state")
+    for part, days in ((ODD[:6], 0), (ODD[6:], 400)):
+        met = set(path.glob("part-*")) if path.exists() else set()
+        spark.createDataFrame(part, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(path))
+        for file in set(path.glob("part-*")) - met:
+            os.utime(file, (time.time() - days * 86400,) * 2)
+        before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+        out = exact_dedup.deduplicate(spark, str(path), state_folder=state).collect()
+        assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+    assert sorted(((r.id, r.keep_id, r.group_size, r.digest.hex()) for r in out), key=repr) == expected(ODD)
+
+
 def test_equal_digests_of_different_contents_are_told_apart(spark, tmp_path):
     rows = [(i, t) for i, t in ODD if i is not None] + [(11, "zz"), (12, "zy")]
     weak = F.unhex(F.hex(F.substring(exact_dedup.normalised(), 1, 1).cast("binary")))

@@ -112,6 +112,15 @@ def edits(a, b):
     return min(row)
 
 
+def test_places_side_by_side_and_short_notices():
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.NOTICES, licenses.CHARS_AN_ERROR)
+    places = lambda t: [(m["label"], m["word"], m["errors"]) for m in scanner.scan(t.encode())[1] if not m["exact_phrase"]]
+    assert places("gnu genral public license gnu general public license") == [("gpl", 0, 1), ("gpl", 4, 0)]
+    assert places("All right reserved; all rights reserved. Al rights reserved") == [("reserved", 0, 1), ("reserved", 3, 0), ("reserved", 6, 1)]
+    assert places("apache licence, MIT licence") == [("apache", 0, 1), ("mit", 2, 1)]
+    assert places("a permit license limit license") == []
+
+
 def test_notices_with_errors_are_found_exactly_up_to_the_bound(spark):
     rng = np.random.default_rng(2)
     scanner = licenses.Scanner({}, licenses.NOTICES, licenses.CHARS_AN_ERROR)

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from hourgrid.session import staged
 from hourgrid.sources.readers import unique_rows
 
 # Defaults for days without events.
@@ -55,10 +57,79 @@ def fold_rows(df: DataFrame, folds: DataFrame, hour: str = "hour") -> DataFrame:
     )
 
 
+#: Cells of one level that make one of the next: ranges are covered by few cells, points lie in one of each level.
+RADIX = 32
+LEVELS = 12
+
+
+def _place(name: str, kind: T.DataType) -> Column:
+    """A point as a whole number: days of a date, microseconds of a timestamp."""
+    c = F.col(name)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("long")
+    return F.unix_micros(c.cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else c.cast("long")
+
+
+def _floor_div(x: Column, by: int = RADIX) -> Column:
+    """Whole-number division that rounds down, also below 0."""
+    return F.call_function("div", x - F.pmod(x, F.lit(by).cast("long")), F.lit(by).cast("long"))
+
+
+def _span(a: Column, b: Column) -> Column:
+    """Numbers from a to b, b left out."""
+    return F.when(a < b, F.sequence(a, b - 1))
+
+
+def _cell(level: int):
+    return lambda c: F.struct(F.lit(level).alias("level"), c.alias("cell"))
+
+
+def covering_cells(ranges: DataFrame, start: Column, stop: Column) -> DataFrame:
+    """The ranges with a row for each of the cells (level, cell) that cover [start, stop): whole cells, apart from each other.
+
+    From each level come the cells up to the first and from the last border of the level above, at most 2 (RADIX - 1); a
+    range without points has none.
+    """
+    out = ranges.withColumns({"_lo": start, "_hi": stop}).where("_lo < _hi")
+    cells = []
+    for level in range(LEVELS):
+        lo, hi = F.col("_lo" if level == 0 else f"_lo{level}"), F.col("_hi" if level == 0 else f"_hi{level}")
+        out = out.withColumns({f"_lo{level + 1}": _floor_div(lo + RADIX - 1), f"_hi{level + 1}": _floor_div(hi)})
+        up, down = F.col(f"_lo{level + 1}"), F.col(f"_hi{level + 1}")
+        split = (up < down) if level + 1 < LEVELS else F.lit(False)
+        head = F.when(lo < hi, _span(lo, F.when(split, up * RADIX).otherwise(hi)))
+        tail = F.when(split, _span(down * RADIX, hi))
+        whole = F.concat(*[F.coalesce(x, F.array().cast("array<bigint>")) for x in (head, tail)])
+        cells.append(F.transform(whole, _cell(level)))
+        out = out.withColumns({f"_lo{level + 1}": F.when(split, up), f"_hi{level + 1}": F.when(split, down)})
+    return out.select(*ranges.columns, F.inline(F.concat(*cells)))
+
+
+def interval_join(df: DataFrame, ranges: DataFrame, at: str, start: str, end: str, labels: Sequence[str]) -> DataFrame:
+    """Left join of rows with all half-open ranges [start, end) that hold their point: a row for each range, or one with nulls.
+
+    An equality join on covering cells, so neither side is sent everywhere nor compared one by one; a range over all
+    points is one hot cell, which adaptive execution splits. Points are met once, however many rows have them. Ranges with
+    a null end, or that end before they start, hold no point; a null point is in no range.
+    """
+    kinds = {f.name: f.dataType for f in (*df.schema, *ranges.schema)}
+    named = ranges.select(start, end, *labels)
+    cells = covering_cells(named, _place(start, kinds[start]), _place(end, kinds[end])).select("level", "cell", *labels)
+    cells = staged(cells)
+    levels = sorted(r["level"] for r in cells.select("level").distinct().collect())  # LEVELS numbers at most
+    points = df.select(F.col(at).alias("_at")).where(F.col("_at").isNotNull()).distinct()
+    place = F.col("_place")
+    of_level = F.array(*[F.struct(F.lit(n).alias("level"), _floor_div(place, RADIX**n).alias("cell")) for n in levels]) if levels else None
+    if of_level is None:
+        return df.join(cells.select(*labels), F.lit(False), "left")
+    keyed = points.withColumn("_place", _place("_at", kinds[at])).select("_at", F.inline(of_level))
+    met = keyed.join(cells, ["level", "cell"]).select("_at", *labels)
+    return df.join(met, df[at] == met["_at"], "left").drop("_at")
+
+
 def label_by_range(df: DataFrame, ranges: DataFrame, at: str, start: str, end: str, labels: Sequence[str]) -> DataFrame:
-    """Half-open interval look-up against a short literal table."""
-    cond = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
-    return df.join(F.broadcast(ranges.select(start, end, *labels)), cond, "left").drop(start, end)
+    """Half-open interval look-up."""
+    return interval_join(df, ranges, at, start, end, labels)
 
 
 def nearest_marks(df: DataFrame, order: str, marked: Column, keys: Sequence[str] = (), unit: int = 3600) -> DataFrame:

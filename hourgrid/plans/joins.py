@@ -70,6 +70,18 @@ def j6_label(t):
     return P.label_by_range(days, ranges, "date", "a", "b", ["season"]).groupBy("season").agg(F.sum("n").alias("n"))
 
 
+@query("j6_many_ranges", "ship_date:s n_open:i first_order:i last_order:i", """
+  WITH r AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 45 AS INT) AS b FROM orders), d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem)
+  SELECT day AS ship_date, count(o_orderkey) AS n_open, min(o_orderkey) AS first_order, max(o_orderkey) AS last_order FROM d LEFT JOIN r ON day >= a AND day < b GROUP BY 1""")
+def j6_many_ranges(t):
+    """A range for each order; one in 45 is empty."""
+    opened = F.to_date("o_orderdate")
+    ranges = t.table("orders").select("o_orderkey", opened.alias("a"), F.date_add(opened, (F.col("o_orderkey") % 45).cast("int")).alias("b"))
+    days = t.table("lineitem").select(F.to_date("l_shipdate").alias("day")).distinct()
+    met = P.interval_join(days, ranges, "day", "a", "b", ["o_orderkey"])
+    return met.groupBy(F.col("day").cast("string").alias("ship_date")).agg(F.count("o_orderkey").alias("n_open"), F.min("o_orderkey").alias("first_order"), F.max("o_orderkey").alias("last_order"))
+
+
 @query("j8_anti_missing_hours", "entity:s n_missing:i", """
   WITH s AS (SELECT entity, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS hour FROM (SELECT entity, min(hour) AS a, max(hour) AS b FROM hg_panel GROUP BY 1))
   SELECT entity, count(*) AS n_missing FROM s ANTI JOIN hg_panel p USING (entity, hour) GROUP BY 1""")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -179,29 +181,91 @@ def diebold_mariano(df: DataFrame, keys: Sequence[str], order: str, e1: str, e2:
     return out.withColumn("p_value", normal_p("dm_stat")).select("n", "mean_d", "dm_stat", "p_value")
 
 
-def _weight(rep: Column, key: Column, seed: int) -> Column:
-    """Poisson(1) draw from a keyed hash, stable under any partitioning."""
-    u = F.pmod(F.xxhash64(key, rep, F.lit(seed)), F.lit(2**31)) / float(2**31)
-    # Cumulative Poisson(1) probabilities for 0, 1, 2, ... events.
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-             0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402]
-    out = F.lit(len(steps))
-    for i in reversed(range(len(steps))):
-        out = F.when(u < steps[i], F.lit(i)).otherwise(out)
-    return out
+#: A prime below 2 ** 31: products of two smaller numbers stay within a long, in Spark, SQL and NumPy alike.
+PRIME = 2**31 - 1
+# Cumulative Poisson(1) probabilities for 0, 1, 2, ... events.
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
+           0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402]
+
+
+def key_number(key: str) -> Column:
+    """A number below PRIME for each key, from its digest."""
+    return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % F.lit(PRIME)
+
+
+def drawn(x, rep, seed: int = 42):
+    """A number below PRIME for each key number and replicate; columns or arrays of longs."""
+    u = x * ((rep * 1103515245 + 12345 + seed * 7919) % PRIME) % PRIME
+    u = (u * u + x + rep) % PRIME
+    return (u * 48271 + x) % PRIME
+
+
+def sql_drawn(x: str, rep: str, seed: int = 42) -> str:
+    """The same as SQL text."""
+    u = f"(({x} * (({rep} * 1103515245 + 12345 + {seed * 7919}) % {PRIME})) % {PRIME})"
+    return f"((((({u} * {u} + {x} + {rep}) % {PRIME}) * 48271) + {x}) % {PRIME})"
+
+
+def sql_key_number(key: str) -> str:
+    return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT % {PRIME})"
+
+
+def poisson_cuts() -> list[int]:
+    return [int(p * PRIME) for p in POISSON]
+
+
+def _replicates(keys: list[str], reps: int, seed: int):
+    """Sums of weighted values and of weights of a task's rows by (group, arm), all replicates of a cell in one vector."""
+    cuts = np.array(poisson_cuts())
+    number = np.arange(1, reps + 1)
+    vector = pa.list_(pa.float64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        schema = None
+        for b in batches:
+            schema = schema or pa.schema([*[b.schema.field(k) for k in keys], b.schema.field("_a"), ("_s", vector), ("_n", vector)])
+            cells = list(zip(*(b.column(c).to_pylist() for c in (*keys, "_a")), strict=True))
+            place = {c: i for i, c in enumerate(dict.fromkeys(cells))}
+            of = np.array([place[c] for c in cells], np.int64)
+            v, x = np.asarray(b.column("_v"), np.float64), np.asarray(b.column("_x"), np.int64)
+            for i in range(0, len(b), 2048):
+                part = slice(i, i + 2048)
+                w = np.searchsorted(cuts, drawn(x[part, None], number, seed), side="right").astype(np.float64)
+                for cell, at in place.items():
+                    mine = of[part] == at
+                    if mine.any():
+                        own = np.stack((v[part][mine] @ w[mine], w[mine].sum(axis=0)))
+                        sums[cell] = sums[cell] + own if cell in sums else own
+            if len(sums) > 2000:
+                yield out(sums, schema)
+                sums = {}
+        if sums:
+            yield out(sums, schema)
+
+    def out(sums: dict[tuple, np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+        columns = [*zip(*sums, strict=True), [s[0].tolist() for s in sums.values()], [s[1].tolist() for s in sums.values()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
 
 
 def bootstrap_delta(df: DataFrame, by: Sequence[str], arm: str, value: str, key: str, reps: int = 400, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """Bootstrap interval of mean(arm=1) - mean(arm=0): replicates are exploded and reduced before the shuffle."""
+    """Bootstrap interval of mean(arm=1) - mean(arm=0), with Poisson weights from a keyed number.
+
+    Rows are not repeated: a task sums all replicates of a (group, arm) as one vector, and only vectors are moved.
+    """
     keys = list(by)
-    x = df.where(F.col(value).isNotNull()).select(*keys, F.col(arm).alias("_a"), F.col(value).alias("_v"), F.col(key).alias("_k"))
-    x = x.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_w", _weight(F.col("rep"), F.col("_k"), seed))
+    x = df.where(F.col(value).isNotNull() & F.col(arm).isNotNull()).select(*keys, F.col(arm).cast("int").alias("_a"), F.col(value).cast("double").alias("_v"), key_number(key).alias("_x"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema if f.name not in ("_v", "_x"))
+    parts = x.mapInArrow(_replicates(keys, reps, seed), f"{kinds}, _s array<double>, _n array<double>")
+    each = parts.select(*keys, "_a", F.posexplode(F.arrays_zip("_s", "_n")).alias("rep", "_c"))
 
     def mean(a: int) -> Column:
         on = F.col("_a") == a
-        return F.try_divide(F.sum(F.when(on, F.col("_w") * F.col("_v"))), F.sum(F.when(on, F.col("_w"))).cast("double"))
+        return F.try_divide(F.sum(F.when(on, F.col("_c")["_s"])), F.sum(F.when(on, F.col("_c")["_n"])))
 
-    per = x.groupBy(*keys, "rep").agg((mean(1) - mean(0)).alias("delta"))
+    per = each.groupBy(*keys, "rep").agg((mean(1) - mean(0)).alias("delta"))
     return per.groupBy(*keys).agg(
         F.avg("delta").alias("boot_mean"), F.percentile("delta", F.lit(alpha / 2)).alias("ci_low"),
         F.percentile("delta", F.lit(1 - alpha / 2)).alias("ci_high"),
@@ -222,9 +286,9 @@ def permutation_p(df: DataFrame, by: Sequence[str], arm: str, value: str, key: s
         F.count_if(F.col("_a") == 1).alias("_n1"), F.count_if(F.col("_a") == 0).alias("_n0"), F.sum("_v").alias("_sum"),
         (F.avg(F.when(F.col("_a") == 1, F.col("_v"))) - F.avg(F.when(F.col("_a") == 0, F.col("_v")))).alias("_obs"),
     ).where("_n1 > 0 AND _n0 > 0")
-    x = x.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    x = x.withColumn("_h", F.xxhash64("_k", "rep", F.lit(seed)))
-    x = x.withColumn("_b", F.shiftright("_h", 56))
+    x = x.withColumn("_x", key_number("_k")).withColumn("rep", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(reps).cast("long"))))
+    x = x.withColumn("_h", drawn(F.col("_x"), F.col("rep"), seed)).drop("_x")
+    x = x.withColumn("_b", F.shiftright("_h", 23))
     # Buckets of the hash range: whole buckets below the cut are summed, only the bucket with the cut is ranked.
     buckets = x.groupBy(*keys, "rep", "_b").agg(F.count("*").alias("_c"), F.sum("_v").alias("_s"))
     run = W.partitionBy(*keys, "rep").orderBy("_b").rowsBetween(W.unboundedPreceding, 0)

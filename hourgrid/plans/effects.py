@@ -166,13 +166,24 @@ def st11(t):
     return ST.diebold_mariano(x, ["entity"], "t", "e1", "e2", 24)
 
 
-@query("st12_bootstrap_interval", "boot_mean:f ci_low:f ci_high:f")
+_RESAMPLED = f"""m AS (SELECT entity, is_event_day AS a, rate AS v, entity || '|' || t AS key, {ST.sql_key_number("entity || '|' || t")} AS x FROM hg_mad WHERE rate IS NOT NULL AND is_event_day IS NOT NULL),
+  r AS (SELECT unnest(range(1, 401)) AS rep)"""
+
+
+@query("st12_bootstrap_interval", "boot_mean:f ci_low:f ci_high:f", f"""
+  WITH {_RESAMPLED}, u AS (SELECT rep, a, v, {ST.sql_drawn('x', 'rep')} AS u FROM m, r), w AS (SELECT rep, a, v, {' + '.join(f'(u >= {c})::INT' for c in ST.poisson_cuts())} AS w FROM u),
+  d AS (SELECT rep, sum(w * v) FILTER (WHERE a = 1) / sum(w) FILTER (WHERE a = 1) - sum(w * v) FILTER (WHERE a = 0) / sum(w) FILTER (WHERE a = 0) AS delta FROM w GROUP BY 1)
+  SELECT avg(delta) AS boot_mean, quantile_cont(delta, 0.025) AS ci_low, quantile_cont(delta, 0.975) AS ci_high FROM d""")
 def st12(t):
     m = t.mad.select(F.lit("all").alias("g"), F.col("is_event_day").alias("a"), "rate", F.concat_ws("|", "entity", F.col("t").cast("string")).alias("key"))
     return ST.bootstrap_delta(m, ["g"], "a", "rate", "key", reps=400)
 
 
-@query("st13_permutation_p", "entity:s delta:f p_value:f")
+@query("st13_permutation_p", "entity:s delta:f p_value:f", f"""
+  WITH {_RESAMPLED}, n AS (SELECT entity, count(*) FILTER (WHERE a = 1) AS n1, count(*) FILTER (WHERE a = 0) AS n0, sum(v) AS whole, avg(v) FILTER (WHERE a = 1) - avg(v) FILTER (WHERE a = 0) AS obs FROM m GROUP BY 1),
+  o AS (SELECT entity, rep, v, row_number() OVER (PARTITION BY entity, rep ORDER BY {ST.sql_drawn('x', 'rep')}, key) AS i FROM m, r),
+  s AS (SELECT entity, rep, sum(v) FILTER (WHERE i <= n1) AS s1, any_value(n1) AS n1, any_value(n0) AS n0, any_value(whole) AS whole, any_value(obs) AS obs FROM o JOIN n USING (entity) WHERE n1 > 0 AND n0 > 0 GROUP BY ALL)
+  SELECT entity, any_value(obs) AS delta, greatest(avg((abs(s1 / n1 - (whole - s1) / n0) >= abs(obs))::INT), 1 / 400.0::DOUBLE) AS p_value FROM s GROUP BY 1""")
 def st13(t):
     m = t.mad.select("entity", F.col("is_event_day").alias("a"), "rate", F.concat_ws("|", "entity", F.col("t").cast("string")).alias("key"))
     return ST.permutation_p(m, ["entity"], "a", "rate", "key", reps=400)

@@ -214,6 +214,15 @@ def poisson_cuts() -> list[int]:
     return [int(p * PRIME) for p in POISSON]
 
 
+def _cells(b: pa.RecordBatch, keys: Sequence[str]) -> tuple[list[tuple], np.ndarray]:
+    """The different groups of a batch, and the number of each row's group."""
+    if not keys:
+        return [()], np.zeros(len(b), np.int64)
+    cells = list(zip(*(b.column(c).to_pylist() for c in keys), strict=True))
+    place = {c: i for i, c in enumerate(dict.fromkeys(cells))}
+    return list(place), np.array([place[c] for c in cells], np.int64)
+
+
 def _replicates(keys: list[str], reps: int, seed: int):
     """Sums of weighted values and of weights of a task's rows by (group, arm), all replicates of a cell in one vector."""
     cuts = np.array(poisson_cuts())
@@ -225,14 +234,12 @@ def _replicates(keys: list[str], reps: int, seed: int):
         schema = None
         for b in batches:
             schema = schema or pa.schema([*[b.schema.field(k) for k in keys], b.schema.field("_a"), ("_s", vector), ("_n", vector)])
-            cells = list(zip(*(b.column(c).to_pylist() for c in (*keys, "_a")), strict=True))
-            place = {c: i for i, c in enumerate(dict.fromkeys(cells))}
-            of = np.array([place[c] for c in cells], np.int64)
+            groups, of = _cells(b, (*keys, "_a"))
             v, x = np.asarray(b.column("_v"), np.float64), np.asarray(b.column("_x"), np.int64)
             for i in range(0, len(b), 2048):
                 part = slice(i, i + 2048)
                 w = np.searchsorted(cuts, drawn(x[part, None], number, seed), side="right").astype(np.float64)
-                for cell, at in place.items():
+                for at, cell in enumerate(groups):
                     mine = of[part] == at
                     if mine.any():
                         own = np.stack((v[part][mine] @ w[mine], w[mine].sum(axis=0)))
@@ -272,30 +279,71 @@ def bootstrap_delta(df: DataFrame, by: Sequence[str], arm: str, value: str, key:
     )
 
 
+#: Slices of the range of drawn numbers.
+SLICES = 64
+SLICE = -(-PRIME // SLICES)
+
+
+def _sliced(keys: list[str], reps: int, seed: int):
+    """Rows and their sum by group, replicate and slice of the drawn number, over a task's rows."""
+    number = np.arange(1, reps + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, np.ndarray] = {}
+        schema = None
+        for b in batches:
+            schema = schema or pa.schema([*[b.schema.field(k) for k in keys], ("rep", pa.int64()), ("_b", pa.int64()), ("_c", pa.int64()), ("_s", pa.float64())])
+            groups, of = _cells(b, keys)
+            v, x = np.asarray(b.column("_v"), np.float64), np.asarray(b.column("_x"), np.int64)
+            for at, group in enumerate(groups):
+                own = np.flatnonzero(of == at)
+                for i in range(0, len(own), 2048):
+                    rows = own[i : i + 2048]
+                    cell = drawn(x[rows, None], number, seed) // SLICE + (number - 1) * SLICES
+                    both = np.stack((np.bincount(cell.ravel(), minlength=reps * SLICES), np.bincount(cell.ravel(), np.repeat(v[rows], reps), minlength=reps * SLICES)))
+                    found[group] = found[group] + both if group in found else both
+            if len(found) > 64:
+                yield from out(found, schema)
+                found = {}
+        yield from out(found, schema)
+
+    def out(found: dict[tuple, np.ndarray], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for group, (count, total) in found.items():
+            at = np.flatnonzero(count)
+            columns = [*[[k] * len(at) for k in group], at // SLICES + 1, at % SLICES, count[at].astype(np.int64), total[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
 def permutation_p(df: DataFrame, by: Sequence[str], arm: str, value: str, key: str, reps: int = 400, seed: int = 42) -> DataFrame:
     """Share of label permutations with a difference of means at least as large, not below 1/reps.
 
-    A replicate puts the n1 rows with the smallest keyed hashes in arm 1. Rows are counted by slices of the hash range
-    within tasks; the slice with the cut is known from these counts, and only its rows (1 of 256 for each replicate) are
-    moved and ranked. The table of cuts has a row for each group and replicate; it is written, so that it is broadcast
-    only while its size is below the session's bound.
+    A replicate puts the n1 rows with the smallest drawn numbers in arm 1. Tasks count and sum their rows by slices of the
+    number, all replicates at once; the slice with the cut is known from these counts, and only its rows (1 of 64 for each
+    replicate) are moved and ranked. The table of cuts has a row for each group and replicate; it is written, so that it
+    is broadcast only while its size is below the session's bound.
     """
     keys = list(by)
-    x = df.where(F.col(value).isNotNull()).select(*keys, F.col(arm).alias("_a"), F.col(value).alias("_v"), F.col(key).alias("_k"))
+    x = df.where(F.col(value).isNotNull()).select(*keys, F.col(arm).alias("_a"), F.col(value).cast("double").alias("_v"), F.col(key).alias("_k"), key_number(key).alias("_x"))
     size = x.groupBy(*keys).agg(
         F.count_if(F.col("_a") == 1).alias("_n1"), F.count_if(F.col("_a") == 0).alias("_n0"), F.sum("_v").alias("_sum"),
         (F.avg(F.when(F.col("_a") == 1, F.col("_v"))) - F.avg(F.when(F.col("_a") == 0, F.col("_v")))).alias("_obs"),
     ).where("_n1 > 0 AND _n0 > 0")
-    x = x.withColumn("_x", key_number("_k")).withColumn("rep", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(reps).cast("long"))))
-    x = x.withColumn("_h", drawn(F.col("_x"), F.col("rep"), seed)).drop("_x")
-    x = x.withColumn("_b", F.shiftright("_h", 23))
-    # Buckets of the hash range: whole buckets below the cut are summed, only the bucket with the cut is ranked.
-    buckets = x.groupBy(*keys, "rep", "_b").agg(F.count("*").alias("_c"), F.sum("_v").alias("_s"))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in x.select(*keys).schema)
+    counted = x.select(*keys, "_v", "_x").mapInArrow(_sliced(keys, reps, seed), f"{kinds}rep long, _b long, _c long, _s double")
+    # Whole slices below the cut are summed, only the slice with the cut is ranked.
+    buckets = counted.groupBy(*keys, "rep", "_b").agg(F.sum("_c").alias("_c"), F.sum("_s").alias("_s"))
     run = W.partitionBy(*keys, "rep").orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
     buckets = buckets.withColumns({"_cc": F.sum("_c").over(run), "_cs": F.sum("_s").over(run)}).join(size, keys)
     cut = buckets.where((F.col("_cc") >= F.col("_n1")) & (F.col("_cc") - F.col("_c") < F.col("_n1")))
     cut = staged(cut.select(*keys, "rep", "_b", "_cc", "_cs", "_c", "_s", "_n1", "_n0", "_sum", "_obs"))
-    inside = x.join(cut, [*keys, "rep", "_b"])
+    # The cuts of a group as an array by replicate: a row finds the replicates in whose cut slice it lies.
+    wanted = cut.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rep", "_b"))).alias("_cuts"))
+    h = drawn(F.col("_x"), F.col("_r")["rep"], seed)
+    near = x.join(wanted, keys).select(*keys, "_v", "_k", "_x", F.explode("_cuts").alias("_r")).withColumn("_h", h)
+    near = near.where(F.call_function("div", F.col("_h"), F.lit(SLICE)) == F.col("_r")["_b"]).select(*keys, "_v", "_k", "_h", F.col("_r")["rep"].alias("rep"))
+    inside = near.join(cut, [*keys, "rep"])
     r = F.row_number().over(W.partitionBy(*keys, "rep").orderBy("_h", "_k"))
     take = inside.withColumn("_take", r <= F.col("_n1") - (F.col("_cc") - F.col("_c")))
     per = take.groupBy(*keys, "rep").agg(

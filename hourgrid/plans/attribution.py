@@ -139,15 +139,19 @@ def ex7(t):
     return X.top_overlap(_importance(t), ["run_id"], "week", 2)
 
 
+# Rows of the sample, and replicates.
+SAMPLE, REPLICATES = 20_000, 400
+
+
 def _contrast(t):
     """Group contrast of absolute attributions on a stratified sample."""
     df = staged(_attributed(t))
-    sample = X.stratified_sample(df, X.strata(F.col("tier") == "centrum", F.col("ev") == 1, F.col("hod")), ["entity", "t"], 400)
+    sample = X.stratified_sample(df, X.strata(F.col("tier") == "centrum", F.col("ev") == 1, F.col("hod")), ["entity", "t"], SAMPLE)
     long = X.long_attributions(sample, ["entity", "t", "tier"], FEATURES)
     x = long.select("feature", (F.col("tier") == "centrum").cast("int").alias("a"), F.abs("attribution").alias("v"), F.concat_ws("|", "entity", F.col("t").cast("string")).alias("key"))
     x = staged(x)
-    boot = ST.bootstrap_delta(x, ["feature"], "a", "v", "key", reps=200)
-    perm = ST.permutation_p(x, ["feature"], "a", "v", "key", reps=200)
+    boot = ST.bootstrap_delta(x, ["feature"], "a", "v", "key", reps=REPLICATES)
+    perm = ST.permutation_p(x, ["feature"], "a", "v", "key", reps=REPLICATES)
     out = boot.join(perm, "feature").withColumn("run_id", F.lit("linear"))
     return out.withColumn("significant", ((F.col("ci_low") > 0) | (F.col("ci_high") < 0)) & (F.col("p_value") < 0.05))
 

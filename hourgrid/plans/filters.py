@@ -319,3 +319,15 @@ def io6(t):
     back = R.read_parquet(t.spark, path, ["entity", "hour", "rate", "split"])
     per = back.groupBy("split", "entity").agg(F.count("*").alias("n"))
     return per.groupBy("split").agg(F.sum("n").alias("n"), F.count("*").alias("n_entities"))
+
+
+@query("io6_range_read", "entity:s hour:t rate:f", """
+  WITH e AS (SELECT min(entity) AS first, max(entity) AS last FROM hg_panel) SELECT entity, hour, rate FROM hg_panel, e
+  WHERE (entity > first OR hour >= TIMESTAMP '2024-01-10') AND (entity < last OR hour <= TIMESTAMP '2024-01-20')""")
+def io6_range(t):
+    """Reads a range of keys back through the manifest of the written panel."""
+    path = _stage_path(t)
+    R.write_panel(t.panel.select("entity", "hour", "rate"), path)
+    held = R.write_manifest(t.spark, path)
+    ends = held.agg(F.min("first.entity").alias("a"), F.max("last.entity").alias("b")).first()
+    return R.read_keys(t.spark, path, {"entity": ends["a"], "hour": "2024-01-10"}, {"entity": ends["b"], "hour": "2024-01-20"})

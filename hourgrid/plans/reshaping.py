@@ -10,6 +10,8 @@ from hourgrid.operators import spatial as SP
 from hourgrid.operators.evaluate import required_present
 from hourgrid.operators.explain import top_overlap
 from hourgrid.plans.registry import query
+from hourgrid.session import stage_path
+from hourgrid.sources import readers as R
 
 
 @query("sl1_mixed_sort", "lang:s source:s n:i mean_chars:f", "SELECT lang, source, count(*) AS n, avg(n_chars) AS mean_chars FROM documents GROUP BY ALL ORDER BY n DESC, mean_chars, lang, source")
@@ -33,13 +35,14 @@ def sl3(t):
     return d.withColumn("position", S.weekday_order("weekday")).orderBy("position")
 
 
-@query("sl4_export_order", "entity:s n:i sorted_pairs:i", "SELECT entity, count(*) AS n, count(*) - 1 AS sorted_pairs FROM hg_panel GROUP BY 1")
+@query("sl4_export_order", "entity:s n:i disordered:i", "SELECT entity, count(*) AS n, 0 AS disordered FROM hg_panel GROUP BY 1")
 def sl4(t):
-    from hourgrid.operators.windows import previous
-
-    laid = t.panel.select("entity", "hour", "t").repartition("entity", "hour").sortWithinPartitions("entity", "hour")
-    p = previous(laid, ["entity"], "t", ["t"])
-    return p.groupBy("entity").agg(F.count("*").alias("n"), F.count_if(F.col("t") > F.col("prev_t")).alias("sorted_pairs"))
+    """The panel as it lies in the written files: rows of each entity, and those not in their place."""
+    path = stage_path(t.spark, "export")
+    R.write_panel(t.panel.select("entity", "hour", "rate"), path)
+    wrong = R.disorder(t.spark, path).groupBy("entity").agg(F.count("*").alias("disordered"))
+    n = t.spark.read.parquet(path).groupBy("entity").agg(F.count("*").alias("n"))
+    return n.join(wrong, "entity", "left").fillna(0, ["disordered"])
 
 
 @query("so1_labelled_union", "dataset:s n:i n_capacity:i", """

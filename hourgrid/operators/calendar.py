@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions.scalar import first_match
 from hourgrid.operators.windows import latest_per_key
 
+# Columns of the calendar.
 CALENDAR_COLUMNS = [
     "date", "national_holiday_name", "other_holiday_name", "vacation_name", "vacation_type", "is_national_holiday",
     "is_other_holiday", "is_any_holiday", "is_school_vacation", "calendar_day_class", "year", "month", "weekday", "is_weekend",
@@ -16,6 +17,7 @@ CALENDAR_COLUMNS = [
 
 def calendar_class(day: str = "date") -> Column:
     """National holiday, other holiday, school vacation, weekend, regular day: first that holds."""
+    # Names of the classes.
     return first_match(
         [(F.col("is_national_holiday") == 1, "national_holiday"), (F.col("is_other_holiday") == 1, "other_holiday"),
          (F.col("is_school_vacation") == 1, "school_vacation"), (F.weekday(day) >= 5, "weekend")],

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hourgrid.functions.scalar import daypart, first_match, jaccard
+from hourgrid.operators.moments import Linear, group_deviations
 from hourgrid.operators.quantile import quantiles
 
 
@@ -95,8 +96,23 @@ def long_attributions(df: DataFrame, ids: Sequence[str], features: Sequence[str]
 def importance(long: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean absolute and signed attribution and rank per feature within each context."""
     imp = long.groupBy(*by, "feature").agg(F.avg(F.abs("attribution")).alias("mean_abs"), F.avg("attribution").alias("mean_signed"), F.count("*").alias("n"))
-    order = W.partitionBy(*by).orderBy(F.desc("mean_abs"), "feature")
-    return imp.withColumn("rank", F.row_number().over(order))
+    return ranked_importance(imp, by)
+
+
+def linear_importance(df: DataFrame, by: str, rules: Sequence[Linear], means: dict[str, dict[str, float]], fill: dict[str, dict[str, float]]) -> DataFrame:
+    """(grp, feature, mean_abs, mean_signed, n) of the attributions of a linear rule for each group, in one scan.
+
+    An attribution is weight x (value - mean), so its mean size is the weight's size times that of the deviation.
+    """
+    columns = list(dict.fromkeys(c for r in rules for c in r.columns))
+    off = group_deviations(df, by, columns, means, fill)
+    weights = df.sparkSession.createDataFrame([(r.group, c, float(w)) for r in rules for c, w in zip(r.columns, r.weights, strict=True)], "grp string, `column` string, w double")
+    met = off.join(weights, ["grp", "column"])
+    return met.select("grp", F.col("column").alias("feature"), (F.abs("w") * F.col("size")).alias("mean_abs"), (F.col("w") * F.col("off")).alias("mean_signed"), "n")
+
+
+def ranked_importance(imp: DataFrame, by: Sequence[str]) -> DataFrame:
+    return imp.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("mean_abs"), "feature")))
 
 
 def stability(imp: DataFrame, by: Sequence[str], top: int = 10) -> DataFrame:

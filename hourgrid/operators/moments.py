@@ -205,6 +205,27 @@ def ridge(products: Products, features: Sequence[str], alpha: float) -> tuple[np
     return weights, float(mean[-1] - weights @ mean[at])
 
 
+def deviating(by: str, groups: Groups, columns: Sequence[str], means: dict[str, dict[str, float]], fill: dict[str, dict[str, float]]):
+    schema = pa.schema([("grp", pa.string()), ("column", pa.string()), ("n", pa.int64()), ("size", pa.float64()), ("off", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for grp, rows in members(b, by, groups):
+                if grp in means:
+                    off = filled(b.take(pa.array(rows)), columns, fill.get(grp, {})) - np.array([means[grp][c] for c in columns])
+                    values = ([grp] * len(columns), list(columns), [len(rows)] * len(columns), np.abs(off).sum(axis=0), off.sum(axis=0))
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def group_deviations(df: DataFrame, by: str, columns: Sequence[str], means: dict[str, dict[str, float]], fill: dict[str, dict[str, float]], groups: Groups = (("none", ""),)) -> DataFrame:
+    """(grp, column, n, size, off): mean size and mean of each column's deviation from its group's mean, in one scan."""
+    used = df.select(F.col(by).cast("string").alias(by), *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*columns, *[c for _, c in groups if c]])])
+    sums = used.mapInArrow(deviating(by, groups, list(columns), means, fill), "grp string, `column` string, n long, size double, off double")
+    return sums.groupBy("grp", "column").agg(F.sum("n").alias("n"), (F.sum("size") / F.sum("n")).alias("size"), (F.sum("off") / F.sum("n")).alias("off"))
+
+
 #: Sums that metrics are made of.
 SUMS = ("n", "abs", "square", "share", "n_inner", "inner", "n_outer", "outer", "n_event", "event", "n_plain", "plain")
 

@@ -9,9 +9,10 @@ from hourgrid.functions import scalar as S
 from hourgrid.operators import explain as X
 from hourgrid.operators import evaluate as EV
 from hourgrid.operators import models as M
+from hourgrid.operators import moments as O
 from hourgrid.operators import significance as ST
 from hourgrid.operators.evaluate import required_present
-from hourgrid.plans.features import FORECAST, built
+from hourgrid.plans.features import FORECAST, built, fold_table
 from hourgrid.plans.modelling import _baselines, _PROFILE
 from hourgrid.plans.registry import query
 from hourgrid.session import staged
@@ -204,3 +205,30 @@ def ex13(t):
   WITH {_BASE} SELECT CASE WHEN hod <= 5 THEN 'night' WHEN hod <= 11 THEN 'morning' WHEN hod <= 17 THEN 'afternoon' ELSE 'evening' END AS daypart, count(*) AS n, avg(a0) AS mean_hour_attribution FROM atr GROUP BY 1""")
 def daypart_attribution(t):
     return _attributed(t).groupBy(S.daypart("hod").alias("daypart")).agg(F.count("*").alias("n"), F.avg("attr__f_hour").alias("mean_hour_attribution"))
+
+
+def fold_importance(t):
+    """Importance of the inputs of a ridge fitted in each fold, over the fold's validation rows."""
+    table = staged(fold_table(t), ["fold", "role"])
+    train, valid = table.where("role = 'train' AND rate IS NOT NULL"), table.where("role = 'valid'")
+    fill = O.group_medians(train, "fold", FORECAST)
+    products = O.group_products(train, "fold", FORECAST, "rate", fill)
+    means = {g: dict(zip(FORECAST, map(float, found.mean))) for g, found in products.items()}
+    rules = [O.Linear("ridge", g, tuple(FORECAST), *O.ridge(found, FORECAST, M.GRID["ridge_a1_0"]["alpha"])) for g, found in products.items()]
+    out = X.linear_importance(valid, "fold", rules, means, fill).withColumn("fold", F.split_part("grp", F.lit("|"), F.lit(1)))
+    return X.ranked_importance(out, ["fold"]).withColumn("run_id", F.lit("F2_ridge_a1_0"))
+
+
+@query("ex5_fold_importance", "fold:s feature:s mean_abs:f4 mean_signed:f4 n:i")
+def ex5_fold(t):
+    return fold_importance(t)
+
+
+@query("ex6_ridge_stability", "feature:s top_freq:f sign_consistency:f")
+def ex6_ridge(t):
+    return X.stability(staged(fold_importance(t)), ["run_id"], 10)
+
+
+@query("ex7_ridge_overlap", "run_id:s n_pairs:i mean_jaccard:f")
+def ex7_ridge(t):
+    return X.top_overlap(staged(fold_importance(t)), ["run_id"], "fold", 10)

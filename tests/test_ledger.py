@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hourgrid.operators import evaluate as EV
+from hourgrid.operators import explain as X
 from hourgrid.operators import features as FE
 from hourgrid.operators import ledger as L
 from hourgrid.operators import moments as O
@@ -112,3 +113,15 @@ def test_runs_with_the_same_fit_share_it_and_trees_are_cells_too(spark, setting)
         if r["fit_status"] == "ok":
             by_fit.setdefault(r["fit"], []).append((r["variant"], r["mae"]))
     assert by_fit and all({v for v, _ in f} == {"P3", "P4"} and len({m for _, m in f}) == 1 for f in by_fit.values())
+
+
+def test_importance_is_that_of_the_attributions(spark):
+    rng = np.random.default_rng(8)
+    rows = [(float(a), float(b) if b > -1 else None) for a, b in rng.normal(size=(200, 2))]
+    df = spark.createDataFrame(rows, "a double, b double").withColumn("g", F.lit("g")).repartition(3)
+    rule = O.Linear("r", "g|none", ("a", "b"), np.array([2.0, -0.5]), 0.0)
+    found = {r["feature"]: r for r in X.ranked_importance(X.linear_importance(df, "g", [rule], {"g|none": {"a": 0.1, "b": 0.2}}, {"g|none": {"b": 0.3}}), ["grp"]).collect()}
+    a, b = np.array([2 * (x - 0.1) for x, _ in rows]), np.array([-0.5 * ((0.3 if y is None else y) - 0.2) for _, y in rows])
+    for name, v, rank in (("a", a, 1), ("b", b, 2)):
+        assert (found[name]["n"], found[name]["rank"]) == (200, rank)
+        assert found[name]["mean_abs"] == pytest.approx(np.abs(v).mean()) and found[name]["mean_signed"] == pytest.approx(v.mean())

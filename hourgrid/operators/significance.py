@@ -282,6 +282,9 @@ def bootstrap_delta(df: DataFrame, by: Sequence[str], arm: str, value: str, key:
 #: Slices of the range of drawn numbers.
 SLICES = 64
 SLICE = -(-PRIME // SLICES)
+#: Differences of means this near to the observed one, as a share of the mean size of a value, are as large: sums of
+#: doubles differ by the order of their rows, so equal differences would be told apart by chance.
+TIE = 1e-9
 
 
 def _sliced(keys: list[str], reps: int, seed: int):
@@ -317,7 +320,7 @@ def _sliced(keys: list[str], reps: int, seed: int):
 
 
 def permutation_p(df: DataFrame, by: Sequence[str], arm: str, value: str, key: str, reps: int = 400, seed: int = 42) -> DataFrame:
-    """Share of label permutations with a difference of means at least as large, not below 1/reps.
+    """Share of label permutations with a difference of means at least as large (up to ``TIE``), not below 1/reps.
 
     A replicate puts the n1 rows with the smallest drawn numbers in arm 1. Tasks count and sum their rows by slices of the
     number, all replicates at once; the slice with the cut is known from these counts, and only its rows (1 of 64 for each
@@ -327,7 +330,7 @@ def permutation_p(df: DataFrame, by: Sequence[str], arm: str, value: str, key: s
     keys = list(by)
     x = df.where(F.col(value).isNotNull()).select(*keys, F.col(arm).alias("_a"), F.col(value).cast("double").alias("_v"), F.col(key).alias("_k"), key_number(key).alias("_x"))
     size = x.groupBy(*keys).agg(
-        F.count_if(F.col("_a") == 1).alias("_n1"), F.count_if(F.col("_a") == 0).alias("_n0"), F.sum("_v").alias("_sum"),
+        F.count_if(F.col("_a") == 1).alias("_n1"), F.count_if(F.col("_a") == 0).alias("_n0"), F.sum("_v").alias("_sum"), F.avg(F.abs("_v")).alias("_scale"),
         (F.avg(F.when(F.col("_a") == 1, F.col("_v"))) - F.avg(F.when(F.col("_a") == 0, F.col("_v")))).alias("_obs"),
     ).where("_n1 > 0 AND _n0 > 0")
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in x.select(*keys).schema)
@@ -337,7 +340,7 @@ def permutation_p(df: DataFrame, by: Sequence[str], arm: str, value: str, key: s
     run = W.partitionBy(*keys, "rep").orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
     buckets = buckets.withColumns({"_cc": F.sum("_c").over(run), "_cs": F.sum("_s").over(run)}).join(size, keys)
     cut = buckets.where((F.col("_cc") >= F.col("_n1")) & (F.col("_cc") - F.col("_c") < F.col("_n1")))
-    cut = staged(cut.select(*keys, "rep", "_b", "_cc", "_cs", "_c", "_s", "_n1", "_n0", "_sum", "_obs"))
+    cut = staged(cut.select(*keys, "rep", "_b", "_cc", "_cs", "_c", "_s", "_n1", "_n0", "_sum", "_scale", "_obs"))
     # The cuts of a group as an array by replicate: a row finds the replicates in whose cut slice it lies.
     wanted = cut.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rep", "_b"))).alias("_cuts"))
     h = drawn(F.col("_x"), F.col("_r")["rep"], seed)
@@ -347,9 +350,9 @@ def permutation_p(df: DataFrame, by: Sequence[str], arm: str, value: str, key: s
     r = F.row_number().over(W.partitionBy(*keys, "rep").orderBy("_h", "_k"))
     take = inside.withColumn("_take", r <= F.col("_n1") - (F.col("_cc") - F.col("_c")))
     per = take.groupBy(*keys, "rep").agg(
-        F.max("_obs").alias("_obs"), F.max("_n1").alias("_n1"), F.max("_n0").alias("_n0"), F.max("_sum").alias("_sum"),
+        F.max("_obs").alias("_obs"), F.max("_n1").alias("_n1"), F.max("_n0").alias("_n0"), F.max("_sum").alias("_sum"), F.max("_scale").alias("_scale"),
         (F.max(F.col("_cs") - F.col("_s")) + F.coalesce(F.sum(F.when(F.col("_take"), F.col("_v"))), F.lit(0.0))).alias("_s1"),
     )
     stat = F.col("_s1") / F.col("_n1") - (F.col("_sum") - F.col("_s1")) / F.col("_n0")
-    hit = (F.abs(stat) >= F.abs("_obs")).cast("double")
+    hit = (F.abs(stat) >= F.abs("_obs") - TIE * F.col("_scale")).cast("double")
     return per.groupBy(*keys).agg(F.greatest(F.avg(hit), F.lit(1.0 / reps)).alias("p_value"), F.max("_obs").alias("delta"))

@@ -115,11 +115,16 @@ def ranked_importance(imp: DataFrame, by: Sequence[str]) -> DataFrame:
     return imp.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("mean_abs"), "feature")))
 
 
+#: A signed mean below this share of the mean size is 0: its sign is that of rounding, and differs with the order of rows.
+NO_SIGN = 1e-9
+
+
 def stability(imp: DataFrame, by: Sequence[str], top: int = 10) -> DataFrame:
-    """Over folds: mean and population sd of the rank, share in the top, sign consistency."""
+    """Over folds: mean and population sd of the rank, share in the top, sign consistency (a mean of 0 has no sign)."""
+    signed, least = F.col("mean_signed"), F.col("mean_abs") * NO_SIGN
     return imp.groupBy(*by, "feature").agg(
         F.avg("rank").alias("mean_rank"), F.stddev_pop("rank").alias("sd_rank"), F.avg((F.col("rank") <= top).cast("double")).alias("top_freq"),
-        F.greatest(F.avg((F.col("mean_signed") > 0).cast("double")), F.avg((F.col("mean_signed") < 0).cast("double"))).alias("sign_consistency"),
+        F.greatest(F.avg((signed > least).cast("double")), F.avg((signed < -least).cast("double"))).alias("sign_consistency"),
     )
 
 

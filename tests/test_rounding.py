@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
+from hourgrid.operators import explain as X
 from hourgrid.operators import significance as ST
 
 
@@ -26,3 +29,10 @@ def test_permutation_counts_equal_differences_as_large(spark):
     df = spark.createDataFrame(rows, "g string, k string, a int, v double")
     got = {r.g: r.p_value for r in ST.permutation_p(df.repartition(5), ["g"], "a", "v", "k", reps=200).collect()}
     assert got == {g: exact_p(*case, 200) for g, case in cases.items()}
+
+
+def test_stability_gives_a_mean_of_zero_no_sign(spark):
+    rows = [(w, "noise", 0.06, s * 1e-19) for w, s in enumerate((1, -1, 1, 0))] + [(w, "small", 1e-6, s * 1e-9) for w, s in enumerate((1, -1, 1, 1))]
+    imp = spark.createDataFrame(rows, "week int, feature string, mean_abs double, mean_signed double").withColumn("run_id", F.lit("x"))
+    got = {r.feature: r.sign_consistency for r in X.stability(X.ranked_importance(imp, ["week"]), ["run_id"], 1).collect()}
+    assert got == {"noise": 0.0, "small": 0.75}

@@ -127,6 +127,29 @@ def interval_join(df: DataFrame, ranges: DataFrame, at: str, start: str, end: st
     return df.join(met, df[at] == met["_at"], "left").drop("_at")
 
 
+def interval_totals(df: DataFrame, ranges: DataFrame, at: str, start: str, end: str, totals: dict[str, tuple[str, str]]) -> DataFrame:
+    """Rows with totals over all half-open ranges [start, end) that hold their point: name -> (count, sum, min or max; column).
+
+    As ``interval_join`` with an aggregation over the result, but equal ranges are reduced first, then all that have a
+    covering cell, in tasks before anything is moved: no row is made for a range and a point. A point in no range has
+    count 0, else nulls.
+    """
+    kinds = {f.name: f.dataType for f in (*df.schema, *ranges.schema)}
+    first = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+    own = [first[kind](c).alias(f"_t_{name}") for name, (kind, c) in totals.items()]
+
+    def merged(df: DataFrame, *keys: str) -> DataFrame:
+        return df.groupBy(*keys).agg(*[(F.sum if kind == "count" else first[kind])(f"_t_{name}").alias(f"_t_{name}") for name, (kind, _) in totals.items()])
+
+    alike = ranges.groupBy(F.col(start).alias("_start"), F.col(end).alias("_end")).agg(*own)
+    cells = merged(covering_cells(alike, _place("_start", kinds[start]), _place("_end", kinds[end])), "level", "cell")
+    points = df.select(F.col(at).alias("_at")).where(F.col("_at").isNotNull()).distinct().withColumn("_place", _place("_at", kinds[at]))
+    of_level = F.array(*[F.struct(F.lit(n).alias("level"), _floor_div(F.col("_place"), RADIX**n).alias("cell")) for n in range(LEVELS)])
+    met = merged(points.select("_at", F.inline(of_level)).join(cells, ["level", "cell"]), "_at")
+    found = {name: F.coalesce(F.col(f"_t_{name}"), F.lit(0)) if kind == "count" else F.col(f"_t_{name}") for name, (kind, _) in totals.items()}
+    return df.join(met, df[at] == met["_at"], "left").select(*[df[c] for c in df.columns], *[c.alias(n) for n, c in found.items()])
+
+
 def label_by_range(df: DataFrame, ranges: DataFrame, at: str, start: str, end: str, labels: Sequence[str]) -> DataFrame:
     """Half-open interval look-up."""
     return interval_join(df, ranges, at, start, end, labels)

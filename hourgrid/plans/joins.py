@@ -78,8 +78,8 @@ def j6_many_ranges(t):
     opened = F.to_date("o_orderdate")
     ranges = t.table("orders").select("o_orderkey", opened.alias("a"), F.date_add(opened, (F.col("o_orderkey") % 45).cast("int")).alias("b"))
     days = t.table("lineitem").select(F.to_date("l_shipdate").alias("day")).distinct()
-    met = P.interval_join(days, ranges, "day", "a", "b", ["o_orderkey"])
-    return met.groupBy(F.col("day").cast("string").alias("ship_date")).agg(F.count("o_orderkey").alias("n_open"), F.min("o_orderkey").alias("first_order"), F.max("o_orderkey").alias("last_order"))
+    totals = {"n_open": ("count", "o_orderkey"), "first_order": ("min", "o_orderkey"), "last_order": ("max", "o_orderkey")}
+    return P.interval_totals(days, ranges, "day", "a", "b", totals).withColumn("ship_date", F.col("day").cast("string"))
 
 
 @query("j8_anti_missing_hours", "entity:s n_missing:i", """

@@ -51,3 +51,17 @@ def test_plan_compares_no_pairs(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     counts = {r["at"]: r["n"] for r in found.groupBy("at").agg(F.count("name").alias("n")).collect()}
     assert counts == {1: 2, 70: 50, 9_999: 50}
+
+
+def test_totals_over_ranges_make_no_row_for_a_pair(spark):
+    rng = random.Random(6)
+    points = [rng.randrange(-300, 300) for _ in range(80)] + [0, 0, None, 10**6]
+    ranges = [(a := rng.randrange(-300, 300), a + rng.randrange(-1, 200), rng.randrange(50)) for _ in range(70)] * 2 + [(None, 5, 91), (5, None, 92), (7, 7, 93)]
+    df = spark.createDataFrame([(p,) for p in points], "at long").repartition(3)
+    kinds = {"n": ("count", "name"), "total": ("sum", "name"), "least": ("min", "name"), "most": ("max", "name")}
+    found = P.interval_totals(df, spark.createDataFrame(ranges, "a long, b long, name int"), "at", "a", "b", kinds)
+    want = []
+    for p in points:
+        met = [n for a, b, n in ranges if None not in (p, a, b) and a <= p < b]
+        want.append((p, len(met), sum(met) if met else None, min(met, default=None), max(met, default=None)))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hourgrid.operators.windows import HOUR, Look, neighbours, running_total
@@ -60,6 +61,37 @@ def interpolate(
     return df
 
 
+def filled_hours(df: DataFrame, keys: Sequence[str], hour: str, column: str, limit: int, both: bool = False, edges: bool = False) -> DataFrame:
+    """``interpolate`` of one column over ``reindexed`` rows, without ordering the grid: (keys, hour, t, column).
+
+    Rows are at whole hours, one for each hour of a key at most, so a key has no more rows than its span has hours. Only
+    these rows are moved and sorted. A row that is known, or at an end, holds what all hours up to the next such row need,
+    and writes these hours out itself.
+    """
+    rows = df.select(*keys, F.col(hour).alias("_hour"), F.col(column).cast("double").alias("_v"))
+    ordered = W.partitionBy(*keys).orderBy("_hour")
+    rows = rows.withColumns({"_first": F.lag("_hour").over(ordered).isNull(), "_last": F.lead("_hour").over(ordered).isNull()})
+    rows = rows.where("_v IS NOT NULL OR _first OR _last").withColumn("_at", F.unix_timestamp("_hour"))
+    known = F.when(F.col("_v").isNotNull(), F.struct("_v", "_at"))
+    rows = rows.withColumns({
+        "_before": F.last(known, True).over(ordered.rowsBetween(W.unboundedPreceding, 0)),
+        "_after": F.lead(known).over(ordered), "_until": F.lead("_hour").over(ordered) - F.expr("interval 1 hour")})
+    out = rows.withColumn(hour, F.explode(F.sequence("_hour", F.coalesce("_until", "_hour"), F.expr("interval 1 hour")))).withColumn("t", F.unix_timestamp(hour))
+    t, reach = F.col("t"), limit * HOUR
+    pv, pt, nv, nt = (F.col(f"{side}.{x}") for side in ("_before", "_after") for x in ("_v", "_at"))
+
+    def guess(at: Column) -> Column:
+        return F.when(pv.isNull() | (at == pt), F.coalesce(pv, nv)).when(nv.isNull(), pv).otherwise(pv + (nv - pv) * (at - pt) / (nt - pt))
+
+    near = F.coalesce(t - pt <= reach, F.lit(False))
+    if both:
+        near = near | F.coalesce(nt - t <= reach, F.lit(False))
+    value = F.when(near, guess(t))
+    if edges:
+        value = F.coalesce(value, guess(pt + reach), nv)
+    return out.select(*keys, hour, "t", value.alias(column))
+
+
 def integrity(df: DataFrame, keys: Sequence[str], hour: str) -> DataFrame:
     """Expected, actual, missing and surplus hours per series, from one outer join with the spine."""
     grid = hour_spine(df, keys, hour).withColumn("_g", F.lit(1))

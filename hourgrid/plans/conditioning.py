@@ -37,13 +37,13 @@ def ts1(t):
 
 @query("ts2_interpolate_forward", "entity:s hour:t value:f", f"SELECT entity, hour, value FROM ({_fill_sql(_GRID, 'entity', 'value', 2)})")
 def ts2(t):
-    return TS.interpolate(TS.reindexed(t.sparse, ["entity"], "hour", ["value"]), ["entity"], "t", {"value": 2})
+    return TS.filled_hours(t.sparse, ["entity"], "hour", "value", 2)
 
 
 @query("ts2_interpolate_both", "entity:s n:i n_null:i total:f4", f"""
   SELECT entity, count(*) AS n, count(*) FILTER (WHERE value IS NULL) AS n_null, sum(value) AS total FROM ({_fill_sql(_GRID, 'entity', 'value', 3, True)}) GROUP BY 1""")
 def ts2_both(t):
-    out = TS.interpolate(TS.reindexed(t.sparse, ["entity"], "hour", ["value"]), ["entity"], "t", {"value": 3}, both=True)
+    out = TS.filled_hours(t.sparse, ["entity"], "hour", "value", 3, both=True)
     return out.groupBy("entity").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("n_null"), F.sum("value").alias("total"))
 
 
@@ -51,7 +51,7 @@ def ts2_both(t):
   SELECT entity, 0 AS n_null, sum(v) AS total FROM (SELECT entity, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY entity ORDER BY t),
     first_value(value IGNORE NULLS) OVER (PARTITION BY entity ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM ({_fill_sql(_GRID, 'entity', 'value', 6)})) GROUP BY 1""")
 def ts2_edges(t):
-    out = TS.interpolate(TS.reindexed(t.sparse, ["entity"], "hour", ["value"]), ["entity"], "t", {"value": 6}, edges=True)
+    out = TS.filled_hours(t.sparse, ["entity"], "hour", "value", 6, edges=True)
     return out.groupBy("entity").agg(F.count_if(F.col("value").isNull()).alias("n_null"), F.sum("value").alias("total"))
 
 

@@ -191,3 +191,16 @@ def test_hours_of_clock_change_days(spark):
 
     df = spark.createDataFrame([("2024-03-31", 23), ("2024-10-27", 25), ("2024-10-28", 24), (None, None)], "d string, want int").withColumn("got", Q.hours_of_day(F.to_date("d"), "Europe/Brussels"))
     assert all(r.got == r.want for r in df.collect())
+
+
+@pytest.mark.parametrize("both,edges,limit", [(False, False, 2), (True, False, 3), (False, True, 6), (True, True, 1), (False, True, 0)])
+def test_hours_filled_by_gap_equal_those_filled_on_the_grid(spark, both, edges, limit):
+    rng = np.random.default_rng(limit)
+    rows = [(f"k{k}", int(h) * HOUR, None if rng.random() < 0.3 else float(rng.normal())) for k in range(12) for h in sorted(rng.choice(90, 12, replace=False))]
+    rows += [("one", 5 * HOUR, 1.0), ("null", 5 * HOUR, None), ("nulls", 5 * HOUR, None), ("nulls", 9 * HOUR, None)]
+    df = spark.createDataFrame(rows, "entity string, s long, v double").select("entity", F.timestamp_seconds("s").alias("hour"), "v").repartition(5)
+    want = TS.interpolate(TS.reindexed(df, ["entity"], "hour", ["v"]), ["entity"], "t", {"v": limit}, both=both, edges=edges)
+    got = TS.filled_hours(df, ["entity"], "hour", "v", limit, both, edges)
+    values = [sorted(map(repr, map(tuple, x.select("entity", "hour", "t", "v").collect()))) for x in (want, got)]
+    assert values[0] == values[1]
+    assert got._jdf.queryExecution().executedPlan().toString().count("Generate") == 1

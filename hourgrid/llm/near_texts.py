@@ -8,6 +8,10 @@ positional bytes bring candidates together, shared positional bytes are tallied,
 rest is verified on the whole sets of shingles. A pair at 0.8 shares a list with probability 0.99.
 
 From a list come the links to two of its texts only, so lists of thousands of copies make no pairs of their own.
+
+What that leaves out is found exactly. Of two sets at the similarity, the first elements (a fifth and one more at 0.8) in
+any one order of all shingles share an element. Texts that are not in one group yet meet in a list for each such element;
+pairs go whose sizes, places of the element or bitmaps rule the similarity out, the rest is verified.
 """
 
 from __future__ import annotations
@@ -33,6 +37,11 @@ POSITIONS, LIST = 64, 5
 LEAST_SHARED = 36
 #: Text looked at together.
 AT_ONCE = 4 << 20
+#: Texts in the sample that shows which shingles are common, the least count of one there, and how many are kept. Common
+#: shingles come last in the order of shingles; the order bears on the length of lists, not on the result.
+SAMPLE, COMMON, MOST_COMMON = 20_000, 4, 100_000
+#: Bytes of a set's bitmap, and pairs handed on at once.
+BITMAP, PAIRS = 128, 1 << 16
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,12 +95,16 @@ def parts(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 SIGNED = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("node", pa.binary()), ("signature", pa.binary()), ("fp", pa.int64())])
 
 
+def nodes_of(texts: pa.Array) -> list[bytes]:
+    return [hashlib.md5(b" ".join(t.as_buffer().to_pybytes().lower().split())).digest() for t in texts]
+
+
 def signing(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in parts(b.column("text").cast(pa.large_string())):
                 n = len(texts)
-                nodes = [hashlib.md5(b" ".join(t.as_buffer().to_pybytes().lower().split())).digest() for t in texts]
+                nodes = nodes_of(texts)
                 hashes, counts = shingles(texts, width)
                 filled = np.flatnonzero(counts)
                 signature = np.zeros((n, POSITIONS), np.uint8)
@@ -124,6 +137,97 @@ def set_of(width: int):
     return run
 
 
+def least_shared(a, b, similarity: float):
+    """How many elements two sets of these sizes share at the similarity."""
+    return np.ceil((a + b) * (similarity / (1 + similarity)) - 1e-9)
+
+
+def ordered_sets(width: int, similarity: float | None, common: np.ndarray):
+    """Of each text of a task: node, size of its set, bitmap (parities of the elements at a bit), and its first elements in the order of shingles.
+
+    Without a similarity these are all elements.
+    """
+    schema = pa.schema([("node", pa.binary()), ("size", pa.int32()), ("bits", pa.binary()), ("head", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in batches:
+            for at, texts in parts(b.column("text").cast(pa.large_string())):
+                hashes, counts = shingles(texts, width)
+                ends = np.cumsum(counts)
+                rows = []
+                for node, e, c in zip(nodes_of(texts), ends.tolist(), counts.tolist(), strict=True):
+                    if not c or node in seen:
+                        continue
+                    seen.add(node)
+                    own = np.unique(hashes[e - c : e])
+                    n = len(own)
+                    bits = np.packbits((np.bincount((own >> np.uint64(7)).astype(np.int64) % (8 * BITMAP), minlength=8 * BITMAP) & 1).astype(bool))
+                    if similarity is not None:
+                        late = np.isin(own, common, assume_unique=True)
+                        own = np.concatenate((own[~late], own[late]))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                    rows.append((node, n, bits.tobytes(), own.view(np.int64)))
+                if rows:
+                    nodes, sizes, maps, heads = zip(*rows, strict=True)
+                    yield batch(schema, node=nodes, size=sizes, bits=maps, head=heads)
+
+    return run
+
+
+PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def pairs_of_lists(similarity: float):
+    """Pairs of a task's rows (h, size, place, node, root), ordered by h and size, that have h in common and may be at the similarity.
+
+    All lists go on together: each row is met with the next one, then the one behind it, as long as that is in its list
+    and not too large. A list that goes on in the next batch waits for it.
+    """
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, size, place = (np.asarray(t.column(c)) for c in ("h", "size", "place"))
+        root = np.asarray(t.column("root").combine_chunks().dictionary_encode().indices) if len(t) else h
+        node = t.column("node").combine_chunks()
+        active, d = np.arange(len(t)), 0
+        while len(active):
+            d += 1
+            active = active[active + d < len(t)]
+            other = active + d
+            on = (h[active] == h[other]) & (size[active] >= similarity * size[other] - 1e-9)
+            active, other = active[on], other[on]
+            most = np.minimum(size[active] - place[active], size[other] - place[other])
+            good = (root[active] != root[other]) & (most >= least_shared(size[active], size[other], similarity))
+            x, y = active[good], other[good]
+            for i in range(0, len(x), PAIRS):
+                a, b = (node.take(pa.array(v[i : i + PAIRS])) for v in (x, y))
+                yield pa.RecordBatch.from_arrays([a.cast(pa.binary()), b.cast(pa.binary())], schema=PAIR)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if left is None else pa.concat_tables([left, t])
+            h = np.asarray(t.column("h"))
+            cut = int(np.searchsorted(h, h[-1], side="left")) if len(h) else 0
+            yield from pairs(t.slice(0, cut))
+            left = t.slice(cut)
+        if left is not None:
+            yield from pairs(left)
+
+    return run
+
+
+def may_match(similarity: float):
+    """Elements of one set only flip a bit each, so bitmaps differ in no more bits than there are such elements."""
+
+    def run(a: pa.Array, b: pa.Array, m: pa.Array, n: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, BITMAP // 8) for c in (a, b))
+        both = np.asarray(m).astype(np.int64) + np.asarray(n)
+        return pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= both - 2 * least_shared(np.asarray(m).astype(np.int64), np.asarray(n), similarity))
+
+    return run
+
+
 def shared_positions(a: pa.Array, b: pa.Array) -> pa.Array:
     """How many positional bytes two signatures share."""
     x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, POSITIONS) for c in (a, b))
@@ -166,6 +270,31 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return wide.union(stars(nodes, F.col("fp"))).union(named.select("x", "y")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have the similarity."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "first"), "node")
+    wanted = staged(wanted.select("node", F.col("first")["mark"].alias("of_mark"), F.col("first")["doc_id"].alias("of_doc")))
+    texts = rows.join(wanted, (rows["mark"] == wanted["of_mark"]) & rows["doc_id"].eqNullSafe(wanted["of_doc"])).select("node", "text")
+    sets = staged(texts.mapInArrow(set_of(shingle), "node binary, hashes binary").dropDuplicates(["node"]))
+    a, b = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"of_{n}")) for n in ("a", "b"))
+    return pairs.join(a, "a").join(b, "b").where(F.arrow_udf(jaccard, "double")("of_a", "of_b") >= similarity).select("a", "b")
+
+
+def left_out(rows: DataFrame, nodes: DataFrame, roots: DataFrame, shingle: int, similarity: float, n_rows: int) -> DataFrame:
+    """Pairs of nodes apart that may have the similarity; every pair of two groups that has it is among them."""
+    kinds = "node binary, size int, bits binary, head array<bigint>"
+    sample = rows.where(F.pmod("mark", F.lit(-(-max(n_rows, 1) // SAMPLE))) == 0).mapInArrow(ordered_sets(shingle, None, np.zeros(0, np.uint64)), kinds)
+    often = sample.select(F.explode("head").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    common = np.array([r["h"] for r in often.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()], np.int64).view(np.uint64)
+    heads = staged(rows.mapInArrow(ordered_sets(shingle, similarity, common), kinds))
+    grouped = heads.join(staged(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lists = grouped.select("node", "root", "size", F.posexplode("head").alias("place", "h")).repartition("h").sortWithinPartitions("h", "size", "node")
+    pairs = lists.mapInArrow(pairs_of_lists(similarity), "a binary, b binary").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    maps = heads.select("node", "size", "bits").dropDuplicates(["node"])
+    a, b = (maps.select(F.col("node").alias(n), F.col("bits").alias(f"of_{n}"), F.col("size").alias(f"size_{n}")) for n in ("a", "b"))
+    return staged(pairs.join(a, "a").join(b, "b").where(F.arrow_udf(may_match(similarity), "boolean")("of_a", "of_b", "size_a", "size_b")).select("a", "b"))
+
+
 def repeats(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, mark) of the rows that go, so that one row of each group stays: that with the smallest id.
 
@@ -181,12 +310,9 @@ def repeats(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     a, b = (nodes.select(F.col("node").alias(n), F.col("signature").alias(f"of_{n}")) for n in ("a", "b"))
     tallied = pairs.join(a, "a").join(b, "b").where(F.arrow_udf(shared_positions, "int")("of_a", "of_b") >= LEAST_SHARED)
     tallied = staged(tallied.select("a", "b"))
-    wanted = tallied.select(F.col("a").alias("node")).union(tallied.select("b")).distinct().join(nodes.select("node", "first"), "node")
-    wanted = staged(wanted.select("node", F.col("first")["mark"].alias("of_mark"), F.col("first")["doc_id"].alias("of_doc")))
-    texts = rows.join(wanted, (rows["mark"] == wanted["of_mark"]) & rows["doc_id"].eqNullSafe(wanted["of_doc"])).select("node", "text")
-    sets = staged(texts.mapInArrow(set_of(shingle), "node binary, hashes binary").dropDuplicates(["node"]))
-    a, b = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"of_{n}")) for n in ("a", "b"))
-    links = tallied.join(a, "a").join(b, "b").where(F.arrow_udf(jaccard, "double")("of_a", "of_b") >= similarity).select("a", "b")
+    links = staged(verified(rows, nodes, tallied, shingle, similarity))
+    more = left_out(rows, nodes, components(links), shingle, similarity, signed.count())
+    links = links.union(verified(rows, nodes, more, shingle, similarity))
     roots = components(staged(links))
     grouped = nodes.join(roots, "node", "left").select("node", "first", "rows", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked"))
     best = grouped.where("linked").groupBy("root").agg(F.min("first").alias("best"))

@@ -98,3 +98,29 @@ def test_shingle_hashes_follow_words_only(width):
     assert [len(c) for c in cuts[3:5]] == [0, 0]
     if width == 5:
         assert not set(cuts[0].tolist()) & set(cuts[2].tolist()) and len(cuts[5]) == 1 and cuts[5][0] != cuts[6][0]
+
+
+def test_no_pair_at_the_similarity_is_left_out(spark):
+    rng = random.Random(21)
+    rows, passage = [], [f"p{i}" for i in range(30)]
+    for g in range(500):
+        words = [f"g{g}w{i}" for i in range(rng.randrange(20, 90))] + passage
+        end = list(words)
+        for k in range((len(words) - 4) // 9 - rng.randrange(3)):  # a shingle for each word changed at the start
+            end[k] = f"new{g}x{k}"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(end))]
+    want = near_copies(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert len(want) > 400 and {r.doc_id for r in near_texts.repeats(df).collect()} == want
+
+
+def test_lists_lose_no_pair_at_borders_of_batches():
+    rng = random.Random(2)
+    sets = {bytes([i]): sorted(rng.sample(range(60), 50)) for i in range(40)}
+    rows = sorted((h, len(s), k, n) for n, s in sets.items() for k, h in enumerate(s[: 50 - 40 + 1]))
+    columns = list(zip(*rows))
+    t = pa.table({"h": pa.array(columns[0], pa.int64()), "size": pa.array(columns[1], pa.int32()), "place": pa.array(columns[2], pa.int32()), "node": pa.array(columns[3], pa.binary()), "root": pa.array(columns[3], pa.binary())})
+    for size in (1, 7, 1000):
+        found = {tuple(sorted(p)) for b in near_texts.pairs_of_lists(0.8)(iter(t.to_batches(max_chunksize=size))) for p in zip(*(c.to_pylist() for c in b.columns))}
+        want = {(a, b) for a, b in combinations(sorted(sets), 2) if len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
+        assert want and want <= found

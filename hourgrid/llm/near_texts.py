@@ -12,6 +12,10 @@ From a list come the links to two of its texts only, so lists of thousands of co
 What that leaves out is found exactly. Of two sets at the similarity, the first elements (a fifth and one more at 0.8) in
 any one order of all shingles share an element. Texts that are not in one group yet meet in a list for each such element;
 pairs go whose sizes, places of the element or bitmaps rule the similarity out, the rest is verified.
+
+The order is by how common a shingle is, rare ones first. A text that differs too much from the many copies of another
+has its own shingles first then, and reaches theirs at a place where no similarity is left: a group of copies makes no
+pairs with its square.
 """
 
 from __future__ import annotations
@@ -36,10 +40,13 @@ POSITIONS, LIST = 64, 5
 #: A pair at the similarity shares 51 positions, give or take 3; five times that below.
 LEAST_SHARED = 36
 #: Text looked at together.
-AT_ONCE = 4 << 20
-#: Texts in the sample that shows which shingles are common, the least count of one there, and how many are kept. Common
-#: shingles come last in the order of shingles; the order bears on the length of lists, not on the result.
-SAMPLE, COMMON, MOST_COMMON = 20_000, 4, 100_000
+AT_ONCE = 2 << 20
+#: The sample that shows which shingles are common is one text in so many, of small corpora so many texts; the least count
+#: of a common one there and among all texts with a candidate. The sample grows with the corpus, so that lists do not.
+#: Common shingles come last in the order of shingles, which bears on the length of lists, not on the result.
+SAMPLE_EVERY, SAMPLE, COMMON, COMMON_NEAR = 4, 20_000, 3, 8
+#: Slots of the table of common shingles: so many for each, and bits of their number at least and at most.
+SLOTS, LEAST_BITS, MOST_BITS, SLOT_SHIFT = 16, 16, 24, 20
 #: Bytes of a set's bitmap, and pairs handed on at once.
 BITMAP, PAIRS = 128, 1 << 16
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -137,6 +144,13 @@ def set_of(width: int):
     return run
 
 
+def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of all sets, a row each."""
+    for b in batches:
+        h = np.frombuffer(b"".join(b.column("hashes").to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(h)], ["h"])
+
+
 def least_shared(a, b, similarity: float):
     """How many elements two sets of these sizes share at the similarity."""
     return np.ceil((a + b) * (similarity / (1 + similarity)) - 1e-9)
@@ -145,7 +159,7 @@ def least_shared(a, b, similarity: float):
 def ordered_sets(width: int, similarity: float | None, common: np.ndarray):
     """Of each text of a task: node, size of its set, bitmap (parities of the elements at a bit), and its first elements in the order of shingles.
 
-    Without a similarity these are all elements.
+    The order is by ``common`` (see ``common_shingles``), then by hash. Without a similarity these are all elements.
     """
     schema = pa.schema([("node", pa.binary()), ("size", pa.int32()), ("bits", pa.binary()), ("head", pa.list_(pa.int64()))])
 
@@ -164,8 +178,8 @@ def ordered_sets(width: int, similarity: float | None, common: np.ndarray):
                     n = len(own)
                     bits = np.packbits((np.bincount((own >> np.uint64(7)).astype(np.int64) % (8 * BITMAP), minlength=8 * BITMAP) & 1).astype(bool))
                     if similarity is not None:
-                        late = np.isin(own, common, assume_unique=True)
-                        own = np.concatenate((own[~late], own[late]))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                        level = common[(own >> np.uint64(SLOT_SHIFT)) & np.uint64(len(common) - 1)]
+                        own = own[np.argsort(level, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
                     rows.append((node, n, bits.tobytes(), own.view(np.int64)))
                 if rows:
                     nodes, sizes, maps, heads = zip(*rows, strict=True)
@@ -270,29 +284,52 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return wide.union(stars(nodes, F.col("fp"))).union(named.select("x", "y")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have the similarity."""
+def sets_of(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """The sets of shingles of the nodes in pairs (a, b)."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "first"), "node")
     wanted = staged(wanted.select("node", F.col("first")["mark"].alias("of_mark"), F.col("first")["doc_id"].alias("of_doc")))
     texts = rows.join(wanted, (rows["mark"] == wanted["of_mark"]) & rows["doc_id"].eqNullSafe(wanted["of_doc"])).select("node", "text")
-    sets = staged(texts.mapInArrow(set_of(shingle), "node binary, hashes binary").dropDuplicates(["node"]))
+    return staged(texts.mapInArrow(set_of(shingle), "node binary, hashes binary").dropDuplicates(["node"]))
+
+
+def similar(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have the similarity."""
     a, b = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"of_{n}")) for n in ("a", "b"))
     return pairs.join(a, "a").join(b, "b").where(F.arrow_udf(jaccard, "double")("of_a", "of_b") >= similarity).select("a", "b")
 
 
-def left_out(rows: DataFrame, nodes: DataFrame, roots: DataFrame, shingle: int, similarity: float, n_rows: int) -> DataFrame:
+ORDERED = "node binary, size int, bits binary, head array<bigint>"
+
+
+def common_shingles(rows: DataFrame, sets: DataFrame, shingle: int, n_rows: int) -> np.ndarray:
+    """How common the shingles of a slot are: the power of two in the count of its most common one, 0 if none is common.
+
+    Texts with many copies have a candidate, so ``sets`` shows their shingles whatever the size of the corpus; the sample
+    shows passages that many texts share. The table is bounded; in a full one rare shingles share slots of common ones.
+    """
+    every = min(SAMPLE_EVERY, -(-max(n_rows, 1) // SAMPLE))
+    sample = rows.where(F.pmod("mark", F.lit(every)) == 0).mapInArrow(ordered_sets(shingle, None, np.zeros(1, np.uint8)), ORDERED).select(F.explode("head").alias("h"))
+    often = sample.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("h", (F.col("n") * every).alias("n"))
+    near = sets.mapInArrow(elements, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_NEAR)
+    both = staged(often.union(near))
+    slots = 1 << min(MOST_BITS, max(LEAST_BITS, (SLOTS * both.count()).bit_length()))
+    slot = F.shiftrightunsigned("h", SLOT_SHIFT).bitwiseAND(F.lit(slots - 1)).cast("int")
+    levels = both.groupBy(slot.alias("slot")).agg(F.max(F.floor(F.log2("n"))).cast("byte").alias("level")).toArrow()
+    table = np.zeros(slots, np.uint8)
+    table[np.asarray(levels.column("slot"))] = np.asarray(levels.column("level"))
+    return table
+
+
+def left_out(rows: DataFrame, roots: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
     """Pairs of nodes apart that may have the similarity; every pair of two groups that has it is among them."""
-    kinds = "node binary, size int, bits binary, head array<bigint>"
-    sample = rows.where(F.pmod("mark", F.lit(-(-max(n_rows, 1) // SAMPLE))) == 0).mapInArrow(ordered_sets(shingle, None, np.zeros(0, np.uint64)), kinds)
-    often = sample.select(F.explode("head").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    common = np.array([r["h"] for r in often.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()], np.int64).view(np.uint64)
-    heads = staged(rows.mapInArrow(ordered_sets(shingle, similarity, common), kinds))
-    grouped = heads.join(staged(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Lists hold most of what is moved: a row has a short number for its text and 64 bits for its group.
+    heads = staged(rows.mapInArrow(ordered_sets(shingle, similarity, common), ORDERED).withColumn("number", F.unhex(F.hex(F.monotonically_increasing_id()))))
+    grouped = heads.join(staged(roots), "node", "left").select(F.col("number").alias("node"), F.xxhash64(F.coalesce("root", "node")).alias("root"), "size", "head")
     lists = grouped.select("node", "root", "size", F.posexplode("head").alias("place", "h")).repartition("h").sortWithinPartitions("h", "size", "node")
     pairs = lists.mapInArrow(pairs_of_lists(similarity), "a binary, b binary").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    maps = heads.select("node", "size", "bits").dropDuplicates(["node"])
-    a, b = (maps.select(F.col("node").alias(n), F.col("bits").alias(f"of_{n}"), F.col("size").alias(f"size_{n}")) for n in ("a", "b"))
-    return staged(pairs.join(a, "a").join(b, "b").where(F.arrow_udf(may_match(similarity), "boolean")("of_a", "of_b", "size_a", "size_b")).select("a", "b"))
+    a, b = (heads.select(F.col("number").alias(n), F.col("node").alias(f"node_{n}"), F.col("bits").alias(f"of_{n}"), F.col("size").alias(f"size_{n}")) for n in ("a", "b"))
+    near = pairs.join(a, "a").join(b, "b").where(F.arrow_udf(may_match(similarity), "boolean")("of_a", "of_b", "size_a", "size_b"))
+    return staged(near.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct())
 
 
 def repeats(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,9 +347,10 @@ def repeats(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     a, b = (nodes.select(F.col("node").alias(n), F.col("signature").alias(f"of_{n}")) for n in ("a", "b"))
     tallied = pairs.join(a, "a").join(b, "b").where(F.arrow_udf(shared_positions, "int")("of_a", "of_b") >= LEAST_SHARED)
     tallied = staged(tallied.select("a", "b"))
-    links = staged(verified(rows, nodes, tallied, shingle, similarity))
-    more = left_out(rows, nodes, components(links), shingle, similarity, signed.count())
-    links = links.union(verified(rows, nodes, more, shingle, similarity))
+    sets = sets_of(rows, nodes, tallied, shingle)
+    links = staged(similar(sets, tallied, similarity))
+    more = left_out(rows, components(links), shingle, similarity, common_shingles(rows, sets, shingle, signed.count()))
+    links = links.union(similar(sets_of(rows, nodes, more, shingle), more, similarity))
     roots = components(staged(links))
     grouped = nodes.join(roots, "node", "left").select("node", "first", "rows", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked"))
     best = grouped.where("linked").groupBy("root").agg(F.min("first").alias("best"))

@@ -124,3 +124,33 @@ def test_lists_lose_no_pair_at_borders_of_batches():
         found = {tuple(sorted(p)) for b in near_texts.pairs_of_lists(0.8)(iter(t.to_batches(max_chunksize=size))) for p in zip(*(c.to_pylist() for c in b.columns))}
         want = {(a, b) for a, b in combinations(sorted(sets), 2) if len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
         assert want and want <= found
+
+
+def test_pairs_do_not_grow_with_the_square_of_copies(spark, monkeypatch):
+    made, lists = [], near_texts.pairs_of_lists
+    for copies in (20, 100):
+        rng = random.Random(copies)
+        rows = [(10**6 + i, " ".join(f"t{i}w{k}" for k in range(20))) for i in range(300)]
+        for g in range(6):
+            words = [f"g{g}w{i}" for i in range(120)]
+            for k in range(copies):  # one half is near the others, the other half too far from all
+                own = list(words)
+                for at in rng.sample(range(5, 115), 1 if k % 2 else 6):
+                    own[at] = f"new{rng.randrange(10**9)}"
+                rows.append((1000 * g + k, " ".join(own)))
+        count = spark.sparkContext.accumulator(0)
+
+        def counted(similarity, count=count):
+            def run(batches):
+                for b in lists(similarity)(batches):
+                    count.add(b.num_rows)
+                    yield b
+
+            return run
+
+        monkeypatch.setattr(near_texts, "SAMPLE", 10)
+        monkeypatch.setattr(near_texts, "pairs_of_lists", counted)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        assert {r.doc_id for r in near_texts.repeats(df).collect()} == near_copies(rows)
+        made.append(count.value)
+    assert made[1] <= 7 * max(made[0], 100), made

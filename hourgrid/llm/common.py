@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 T = TypeVar("T")
 #: Folder names that plain reads must skip start with one of these.
 HIDDEN = ("_", ".")
-BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 6 << 20
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 3 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

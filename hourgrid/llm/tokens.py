@@ -29,7 +29,7 @@ WORDS_KEPT = 300_000
 JOINED = 4000
 WORD_END = "</w>"
 #: Bytes of text split at once.
-AT_ONCE = 6 << 20
+AT_ONCE = 3 << 20
 
 
 def binary_array(data: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
